@@ -15,7 +15,7 @@ Equal parts are found by one exchange of (part, set) entries packed per bucket.
 Sets are named by a digest, so exact copies are one entry.  Groups of sets that
 share a part are combined where they are read and again where they meet: a small
 group gives all its pairs, a large one only the pairs of its smallest member
-with the others.  Candidates are pruned by the Hamming distance of 256-bit
+with the others.  Candidates are pruned by the Hamming distance of 1024-bit
 parity sketches, which is a lower bound too, then verified on the whole texts.
 What a large group could still hide are pairs in different components; these are
 looked for in a second round, over the large groups that span components.  So
@@ -41,7 +41,7 @@ from .text import U, Words, chunks, lowered, mix, shingles
 SMALL = 8
 #: Entries that a task combines before it sends them on (16 bytes each).
 FLUSH = 1_000_000
-SKETCH_WORDS = 4
+SKETCH_WORDS = 16
 
 
 class Bands:
@@ -274,10 +274,10 @@ def similar_documents(docs: DataFrame, *, k: int = 5, p: int = 4, q: int = 5) ->
     # The second round: large groups whose members are in several components.
     stars = found.filter("key is not null")
     members = stars.select("key", F.col("a").alias("d1")).unionByName(stars.select("key", F.col("b").alias("d1"))).distinct()
-    members = members.join(classes.select("d1", known.alias("set")), "d1")
-    members = members.join(grouped.withColumnRenamed("node", "rep"), F.col("set.rep") == F.col("rep"), "left").select("key", "set", F.coalesce("component", "set.rep").alias("in"))
+    members = members.join(classes.select("d1", "rep"), "d1")
+    members = members.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select("key", "d1", F.coalesce("component", "rep").alias("in"))
     spread = members.groupBy("key").agg(F.min("in").alias("x"), F.max("in").alias("y")).filter("x != y").select("key")
-    members = written(members.join(spread, "key"), "jaccard-spread")
+    members = written(members.join(spread, "key").join(classes.select("d1", known.alias("set")), "d1").select("key", "set", "in"), "jaccard-spread")
     if not members.isEmpty():
         x = members.select("key", F.col("set").alias("a"), F.col("in").alias("a_in"))
         y = members.select("key", F.col("set").alias("b"), F.col("in").alias("b_in"))
