@@ -2,10 +2,10 @@
 
 A window is three words.  It is compressed with a dictionary trained on ordinary
 text, and with one that also knows toxic text: the ordinary dictionary followed
-by the words, and beginnings of words, that mark labelled toxic documents.  The pair of lengths is a cell
-of a small table; cells are calibrated to log odds on labelled documents, and a
-document's score is a logistic function of its windows' largest and summed log
-odds.  Everything is fitted on labelled rows only, at most ``TOXIC_ROWS`` and
+by the words, and beginnings of words, that mark labelled toxic documents.  The pair of lengths is a
+cell of a small table; cells are calibrated to log odds on labelled documents,
+and a document's score is a logistic function of its windows' largest and
+summed log odds.  Everything is fitted on labelled rows only, at most ``TOXIC_ROWS`` and
 ``ORDINARY_ROWS`` of them (drawn by a hash of the id), and held-out rows are not
 among them.  Copies among these count once.  Every document is scored on its
 whole text; labels, language, source and id play no part in a score.
@@ -32,12 +32,13 @@ from .text import WORD_BASE, Words, between, chunks, lowered, prefix
 
 WINDOW = 3
 TOXIC_ROWS, ORDINARY_ROWS = 2000, 6000
-MARKING_UNITS = 256
+MARKING_UNITS = 1024
 #: Beginnings of words of these lengths are units too, so that inflected forms are known from few rows.
 BEGINNINGS = (4, 5, 6)
 ORDINARY_WINDOWS = 8000
 DICTIONARY_BYTES = 32768
-SIDE = 32
+#: Lengths are told apart up to this; longer windows are compared by what the toxic dictionary saves.
+SIDE = 48
 #: A word marks toxic text at this log-likelihood ratio, this many times the ordinary share, and this share of toxic rows.
 LEAST_RATIO, LEAST_TIMES, LEAST_SHARE = 10.5, 20.0, 0.015
 #: Log odds below this are noise when they are summed.
@@ -91,8 +92,10 @@ def _normal(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def _cells(windows: list[bytes], ordinary, toxic) -> np.ndarray:
-    top = SIDE - 1
-    return np.fromiter((min(top, len(ordinary(w))) * SIDE + min(top, len(toxic(w))) for w in windows), np.int32, len(windows))
+    pairs = np.array([(len(ordinary(w)), len(toxic(w))) for w in windows], np.int32).reshape(-1, 2)
+    over = np.maximum(pairs.max(1) - (SIDE - 1), 0)
+    pairs = np.maximum(pairs - over[:, None], 0)
+    return pairs[:, 0] * SIDE + pairs[:, 1]
 
 
 def _features(cells: np.ndarray, log_odds: np.ndarray) -> tuple[float, float, float]:
@@ -139,7 +142,13 @@ def _marking_units(sample: DataFrame, n1: int, n0: int) -> list[str]:
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     ratio = 2 * (part(a, n1, a / n1) + part(b, n0, b / n0) - part(a, n1, (a + b) / n) - part(b, n0, (a + b) / n))
     good = (F.col("a") >= max(2, LEAST_SHARE * n1)) & (a / n1 >= LEAST_TIMES * (b + 0.5) / n0) & (ratio >= LEAST_RATIO)
-    return [r.w for r in by.filter(good).orderBy(ratio.desc(), "w").limit(MARKING_UNITS).collect()]
+    best = by.filter(good).select("w", ratio.alias("ratio")).orderBy(ratio.desc(), F.length("w").desc(), "w").limit(MARKING_UNITS).collect()
+    # A unit says nothing new if it begins like one that marks more rows, or is the beginning of one that marks as many.
+    chosen: list[str] = []
+    for r in best:
+        if not any(r.w.startswith(c) or c.startswith(r.w) for c in chosen):
+            chosen.append(r.w)
+    return chosen
 
 
 def _ordinary_windows(sample: DataFrame) -> list[bytes]:
@@ -178,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([c for _, c in found] or [np.empty(0, np.int32)]))], ["toxic", "cell"])
 
     seen = np.zeros((2, SIDE * SIDE))
-    for r in sample.select("text", "toxic").mapInArrow(cells, "toxic int, cell int").groupBy("toxic", "cell").count().collect():  # 2048 rows at most
+    for r in sample.select("text", "toxic").mapInArrow(cells, "toxic int, cell int").groupBy("toxic", "cell").count().collect():  # 4608 rows at most
         seen[r.toxic, r.cell] = r["count"]
     model = Model(ordinary, toxic, np.log((seen[1] + 0.02) / (n1 + 0.04)) - np.log((seen[0] + 0.2) / (n0 + 0.4)))
     model.log_odds[(seen[0] + seen[1]) < 2] = 0
