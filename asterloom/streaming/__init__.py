@@ -1,0 +1,16 @@
+"""Star queries over a growing fact table.
+
+The batch engine has no streams; what a stream of new fact rows needs is that a
+query's grouped sums can be kept up to date, which ``running_sums`` does.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..operators.relational import group_sum
+
+
+def running_sums(stream: DataFrame, keys: list[str], measure, name: str = "total") -> DataFrame:
+    """Grouped sums of a streaming fact table; write them in update or complete mode."""
+    return group_sum(stream, keys, measure, name)
