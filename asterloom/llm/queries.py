@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, packing, secrets, substring, toxicity, url_filter
+from . import embedding_dedup, jaccard, mixing, packing, secrets, substring, toxicity, url_filter
 from .common import table
 
 #: The rules that op9 is asked to apply.
@@ -31,6 +31,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_secret_scan": op2_secret_scan,
         "op3_jaccard_join": op3_jaccard_join,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_toxicity": op8_toxicity,
         "op9_url_filter": op9_url_filter,
