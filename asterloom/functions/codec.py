@@ -45,7 +45,7 @@ def decode_nation(code: Column) -> Column:
 
 def encode_city(city: Column, nation: Column) -> Column:
     """A city is the first nine characters of its nation, padded, and a digit."""
-    return (encode_nation(nation) * CITIES_PER_NATION + F.right(city, F.lit(1)).cast("int")).cast("int")
+    return (encode_nation(nation) * CITIES_PER_NATION + F.right(city, F.lit(1)).try_cast("int")).cast("int")
 
 
 def decode_city(code: Column) -> Column:
@@ -54,15 +54,15 @@ def decode_city(code: Column) -> Column:
 
 
 def encode_mfgr(c: Column) -> Column:
-    return (F.regexp_extract(c, r"^MFGR#(\d)", 1).cast("int") - 1).cast("int")
+    return (F.regexp_extract(c, r"^MFGR#(\d)", 1).try_cast("int") - 1).cast("int")
 
 
 def encode_category(c: Column) -> Column:
-    return (encode_mfgr(c) * CATEGORIES_PER_MFGR + F.regexp_extract(c, r"^MFGR#\d(\d)", 1).cast("int") - 1).cast("int")
+    return (encode_mfgr(c) * CATEGORIES_PER_MFGR + F.regexp_extract(c, r"^MFGR#\d(\d)", 1).try_cast("int") - 1).cast("int")
 
 
 def encode_brand(c: Column) -> Column:
-    return (encode_category(c) * BRANDS_PER_CATEGORY + F.regexp_extract(c, r"^MFGR#\d\d(\d+)", 1).cast("int") - 1).cast("int")
+    return (encode_category(c) * BRANDS_PER_CATEGORY + F.regexp_extract(c, r"^MFGR#\d\d(\d+)", 1).try_cast("int") - 1).cast("int")
 
 
 def decode_mfgr(code: Column) -> Column:

@@ -1,0 +1,192 @@
+"""The star engine against hand-checked frames, DuckDB, and itself in another form."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__
+from asterloom.functions import codec
+from asterloom.functions.scalar import difference, linear, product, sigmoid
+from asterloom.operators import segments
+from asterloom.operators.relational import DimJoin, Pred, any_of, group_sum, partitioned_join, scalar_sum, select, semi_join, sort_table, star_join
+from asterloom.plans import entries
+from asterloom.plans.spec import QuerySpec, compile_df, compile_sql, with_date_window
+from asterloom.plans.ssb import in_text, specs
+from asterloom.prepare import prepare
+from asterloom.sources.star import Star, key_violations, read_text
+
+SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem".split():
+        con.execute(f"create view {t} as select * from read_parquet('{MIDDLE}/{t}.parquet')")
+    return con
+
+
+@pytest.mark.parametrize("name", ["ssb_q11", "ssb_q13", "ssb_q22", "ssb_q33_text", "ssb_q41", "ssb_p1", "zone_map", "segment_skip_report", "join_inner_3", "encode_dims"])
+def test_matches_sql(spark, duck, name):
+    got, want = __spark_entry__.queries()[name](spark, MIDDLE).toPandas(), duck.sql(__spark_entry__.oracle_sql()[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    tidy = lambda d: d[columns].astype(str).sort_values(columns).reset_index(drop=True)
+    assert len(got) and tidy(got).equals(tidy(want))
+
+
+def test_every_query_has_sql():
+    assert set(entries.queries()) == set(entries.oracle_sql())
+    assert len(entries.queries()) > 60
+
+
+def test_entry(spark):
+    assert __spark_entry__.entry(spark).count() == 18
+
+
+def test_text_form_gives_the_coded_answer(spark):
+    star = Star(spark, MIDDLE)
+    for name in ("ssb_q21", "ssb_q43"):
+        spec = specs()[name]
+        coded = sorted(r[-1] for r in compile_df(spec, star).collect())
+        assert coded == sorted(r[-1] for r in compile_df(in_text(spec), star).collect())
+    years = [r.d_year for r in compile_df(in_text(specs()["ssb_q31"]), star).collect()]
+    assert years == sorted(years)
+
+
+def test_implied_dates_change_no_answer_and_reach_the_scan(spark):
+    star, spec = Star(spark, MIDDLE), specs()["ssb_q12"]
+    assert spec.date_range() == (19970101, 19970131)
+    assert rows(compile_df(spec, star)) == rows(compile_df(spec, star, implied_dates=False))
+    plan = compile_df(spec, star)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "GreaterThanOrEqual(o_orderdate" in plan
+    window = with_date_window(specs()["ssb_q21"], (1996, 1996))
+    assert {r.d_year for r in compile_df(window, star).collect()} == {1996}
+
+
+def test_specs_refuse_what_they_cannot_mean():
+    with pytest.raises(ValueError):
+        Pred("x", "like", ("a",))
+    with pytest.raises(ValueError):
+        Pred("x", "between", (1,))
+    with pytest.raises(ValueError):
+        QuerySpec("q", "median")
+    with pytest.raises(ValueError):
+        QuerySpec("q", "revenue", keys=("d_year",))
+    assert "GROUP BY" not in compile_sql(specs()["ssb_q11"])
+
+
+def test_filters(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(10)], "a int, b int")
+    got = lambda *p: [r.a for r in select(df, *p).orderBy("a").collect()]
+    assert got(Pred("a", "eq", (0,))) == [0]
+    assert got(Pred("a", "in", (0, 9))) == [0, 9]
+    assert got(Pred("a", "between", (2, 4))) == [2, 3, 4]
+    assert got(Pred("a", "lt", (2,))) == [0, 1] and got(Pred("a", "lte", (1,))) == [0, 1]
+    assert got(Pred("a", "gt", (8,))) == [9] and got(Pred("a", "gte", (9,))) == [9]
+    assert got(Pred("a", "lt", (5,)), Pred("b", "in", (0, 1))) == [0, 1, 3, 4]
+    assert [r.a for r in df.filter(any_of([Pred("a", "eq", (1,)), Pred("b", "eq", (0,))])).orderBy("a").collect()] == [0, 1, 3, 6, 9]
+    assert got() == list(range(10))
+
+
+def test_joins_keep_key_zero_and_fan_out_on_repeated_keys(spark):
+    fact = spark.createDataFrame([(0, 5), (0, 7), (1, 9), (3, 1)], "fk int, v int")
+    dim = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (2, "d")], "pk int, name string")
+    join = DimJoin("dim", "fk", "pk", (), ("name",))
+    assert rows(star_join(fact, [(join, dim)])) == [(0, 5, "a"), (0, 7, "a"), (1, 9, "b"), (1, 9, "c")]
+    assert rows(semi_join(fact, dim, "fk", "pk", Pred("name", "eq", ("a",)))) == [(0, 5), (0, 7)]
+    assert rows(partitioned_join(fact, dim.withColumnRenamed("pk", "fk"), "fk", 3)) == [(0, 5, "a"), (0, 7, "a"), (1, 9, "b"), (1, 9, "c")]
+    assert star_join(fact.limit(0), [(join, dim)]).count() == 0
+
+
+def test_sums_are_signed_and_wide(spark):
+    df = spark.createDataFrame([(1, 2**31 - 1, 2), (1, 2**31 - 1, 2), (2, 5, 5), (3, 1, 9), (4, 2**16, 2**16)], "k int, a int, b int")
+    got = dict(rows(group_sum(df, ["k"], difference(F.col("a"), F.col("b")), "s")))
+    assert got == {1: 2**32 - 6, 2: 0, 3: -8, 4: 0}
+    assert dict(rows(group_sum(df, ["k"], product(F.col("a"), F.col("b")), "s")))[4] == 2**32
+    assert scalar_sum(df.limit(0), F.col("a"), "s").first().s is None
+    assert scalar_sum(df.select((linear(F.col("b"), F.col("b"))).alias("y")), F.col("y"), "s").first().s == 5 * (2 + 2 + 5 + 9 + 2**16)
+    assert df.select(sigmoid(F.lit(0.0), F.lit(0.0)).alias("y")).first().y == 0.5
+
+
+def test_codes_both_ways(spark):
+    known = {"MFGR#12": 1, "MFGR#14": 3}
+    brands = {"MFGR#2221": 260, "MFGR#2228": 267, "MFGR#2239": 278}
+    df = spark.createDataFrame([(k,) for k in [*known, *brands]], "t string")
+    assert {r.t: r.c for r in df.select("t", codec.encode_category(F.col("t")).alias("c")).collect() if r.t in known} == known
+    assert {r.t: r.c for r in df.select("t", codec.encode_brand(F.col("t")).alias("c")).collect() if r.t in brands} == brands
+    city = spark.createDataFrame([("UNITED KI1", "UNITED KINGDOM"), ("UNITED KI5", "UNITED KINGDOM"), ("CHINA    3", "CHINA"), ("X", "NOWHERE")], "c string, n string")
+    codes = [r.x for r in city.limit(3).select(codec.encode_city(F.col("c"), F.col("n")).alias("x")).collect()]
+    assert codes == [231, 235, 183]
+    every = spark.range(1000).select(F.col("id").cast("int").alias("b"))
+    assert every.filter(codec.encode_brand(codec.decode_brand(F.col("b"))) != F.col("b")).count() == 0
+    cities = spark.range(250).select(F.col("id").cast("int").alias("c"))
+    assert cities.filter(codec.encode_city(codec.decode_city(F.col("c")), codec.decode_nation(F.floor(F.col("c") / 10))) != F.col("c")).count() == 0
+    regions = spark.range(5).select(F.col("id").cast("int").alias("r"))
+    assert regions.filter(codec.encode_region(codec.decode_region(F.col("r"))) != F.col("r")).count() == 0
+
+
+def test_zone_maps_are_sound_and_skipping_changes_no_answer(spark):
+    fact = Star(spark, MIDDLE).lineorder(["lo_orderdate", "lo_orderkey", "lo_quantity"])
+    seg = segments.with_segments(fact, "lo_orderdate", 4096).persist()
+    zones = segments.zone_map(seg, ["lo_orderdate", "lo_quantity"])
+    assert zones.filter("n_rows = 4096").count() == fact.count() // 4096
+    for preds in ([Pred("lo_orderdate", "lt", (19960101,))], [Pred("lo_orderdate", "in", (19960102, 19970305)), Pred("lo_quantity", "gte", (30,))], [Pred("lo_orderdate", "gt", (20990101,))]):
+        assert rows(segments.skip(seg, zones, preds).select(*fact.columns)) == rows(select(fact, *preds))
+    report = segments.skip_report(zones, [Pred("lo_orderdate", "lte", (19951231,))]).first()
+    assert 0 < report.skipped < report.segments
+    spans = zones.orderBy("segment_id").collect()
+    assert all(a.lo_orderdate_max <= b.lo_orderdate_min for a, b in zip(spans, spans[1:]))
+
+
+def test_sorted_copy_has_the_same_rows_in_order(spark, tmp_path):
+    fact = Star(spark, SMALL).lineorder(["lo_orderdate", "lo_orderkey", "lo_quantity"])
+    sort_table(fact, "lo_orderdate", 4).write.parquet(str(tmp_path / "x"))
+    back = spark.read.parquet(str(tmp_path / "x"))
+    assert rows(back) == rows(fact)
+    by_file = back.groupBy(F.input_file_name()).agg(F.min("lo_orderdate").alias("a"), F.max("lo_orderdate").alias("b")).orderBy("a").collect()
+    assert all(x.b <= y.a for x, y in zip(by_file, by_file[1:]))
+
+
+def test_keys_of_the_test_tables_hold(spark):
+    star = Star(spark, SMALL)
+    dims = {t: star.dimension(t) for t in ("customer", "supplier", "part", "ddate")}
+    assert {(r.orphans, r.repeated) for r in key_violations(star.lineorder(), dims).collect()} == {(0, 0)}
+
+
+TEXT = {
+    "lineorder": "1|1|7|3|5|19930105|1-URGENT|0|17|1000|5000|4|960|600|2|19930301|TRUCK|\n1|2|7|4|5|19920105|1-URGENT|0|5|2000|5000|0|2000|900|2|19930301|AIR|\n",
+    "part": "3|goldenrod|MFGR#1|MFGR#12|MFGR#121|red|TYPE|7|BOX|\n4|plum|MFGR#2|MFGR#22|MFGR#2221|red|TYPE|7|BOX|\n",
+    "supplier": "5|Supp|addr|UNITED KI1|UNITED KINGDOM|EUROPE|33|\n",
+    "customer": "7|Cust|addr|CHINA    3|CHINA|ASIA|28|BUILDING|\n",
+    "ddate": "19930105|January 5, 1993|Tuesday|January|1993|199301|Jan1993|3|5|5|1|1|Winter|0|0|0|1|\n19920105|January 5, 1992|Sunday|January|1992|199201|Jan1992|1|5|5|1|1|Winter|0|0|0|0|\n",
+}
+
+
+def test_prepare_reads_encodes_sorts_and_maps(spark, tmp_path):
+    for name, text in TEXT.items():
+        (tmp_path / f"{name}.tbl").write_text(text)
+    assert read_text(spark, str(tmp_path / "part.tbl"), "part").columns[-1] == "p_container"
+    prepare(spark, str(tmp_path), str(tmp_path / "out"), segment_rows=1)
+    read = lambda n: spark.read.parquet(str(tmp_path / "out" / f"{n}.parquet"))
+    assert [r.lo_orderdate for r in read("lineorder").collect()] == [19920105, 19930105]
+    assert rows(read("part").select("p_partkey", "p_mfgr", "p_category", "p_brand1")) == [(3, 0, 1, 40), (4, 1, 6, 260)]
+    assert rows(read("supplier").select("s_city", "s_nation", "s_region")) == [(231, 23, 3)]
+    assert rows(read("customer").select("c_city", "c_nation", "c_region")) == [(183, 18, 2)]
+    assert rows(read("zones").select("segment_id", "lo_orderdate_min", "lo_orderdate_max")) == [(0, 19920105, 19920105), (1, 19930105, 19930105)]
+
+
+def test_running_sums_over_a_stream(spark, tmp_path):
+    from asterloom.streaming import running_sums
+
+    for i in range(2):
+        spark.createDataFrame([(1, 5), (2, -7)], "k int, v int").write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k int, v int").parquet(str(tmp_path / "in"))
+    query = running_sums(stream, ["k"], F.col("v")).writeStream.outputMode("complete").format("memory").queryName("sums").start()
+    query.processAllAvailable()
+    query.stop()
+    assert rows(spark.table("sums")) == [(1, 10), (2, -14)]
