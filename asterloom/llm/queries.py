@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard, mixing, packing, secrets, substring, toxicity, url_filter
-from .common import table
+from . import bm25, embedding_dedup, jaccard, mixing, packing, secrets, substring, token_counts, toxicity, url_filter
+from .common import table, written
 
 #: The rules that op9 is asked to apply.
 URL_RULES = (
@@ -31,6 +32,20 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits a document: a word put in at a quarter, a stretch replaced in the middle, a stretch taken out at three quarters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.coalesce(F.length("text"), F.lit(0))
+    edit = lambda at, size, text: F.struct((n * at / 4).cast("int").alias("start"), ((n * at / 4).cast("int") + size).alias("end"), F.lit(text).alias("text"))
+    return token_counts.count_with_edits(docs.withColumn("edits", F.array(edit(1, 0, " edited"), edit(2, 12, "rewritten \n"), edit(3, 20, ""))))
+
+
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage whose id is divisible by 20 against all documents."""
+    index = written(bm25.build_index(table(spark, sf_dir, "documents")), "bm25-index")
+    return bm25.search(index, table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0"), k=10)
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +87,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_secret_scan": op2_secret_scan,
         "op3_jaccard_join": op3_jaccard_join,
+        "op4_token_counts": op4_token_counts,
+        "op5_topk_search": op5_topk_search,
         "op6_embedding_dedup": op6_embedding_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_toxicity": op8_toxicity,
