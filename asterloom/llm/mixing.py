@@ -8,7 +8,7 @@ from prefix sums over the sources sorted by cap / weight: no loop.
 
 Every document is taken ``floor(target / size of source)`` whole times.  The
 fraction that is left is made of one more repetition of some documents, in a
-seeded order: a histogram over ``BINS`` bins of the seeded hash tells the bin
+seeded order: a histogram over 4096 bins of the seeded hash tells the bin
 in which the wanted sum falls, whole bins below it are taken, only that bin is
 sorted, and the one document of those left out whose size is nearest to what is
 still missing is added.  So no source is collected in one task, whatever its
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import n_words, written
 
-#: Bins of the seeded order within a source; a bin is what one task sorts of a source.
-BINS = 4096
+#: Sources up to this number are broadcast: a row of a few numbers and the name each.
+BROADCAST_SOURCES = 10_000
 
 
 def water_fill(sources: DataFrame, *, max_epochs: int = 3) -> DataFrame:
@@ -56,7 +56,9 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
         F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("t")).alias("skey"),  # null after every name
         n_words(text).alias("size"),
     )
-    sized = sized.withColumn("u", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bin", F.pmod("u", F.lit(BINS)).cast("int"))
+    # The order is that of an MD5 digest, which SQL engines share; a bin is its first three hex digits.
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    sized = sized.withColumn("u", order).withColumn("bin", F.conv(F.substring("u", 1, 3), 16, 10).cast("int"))
     sized = written(sized, "mix-sizes")
 
     bins = sized.groupBy("skey", "bin").agg(F.sum("size").alias("bin_size"))
@@ -68,28 +70,30 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     sources = sources.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     sources = sources.withColumn("whole", F.floor("rate").cast("long")).withColumn("want", F.greatest(F.lit(0), F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")))
     sources = written(sources.select("skey", "source_size", "target", "whole", "want"), "mix-sources")
+    small = F.broadcast if sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else (lambda x: x)
 
     so_far = F.sum("bin_size").over(Window.partitionBy("skey").orderBy("bin"))
+    fits = F.col("upto") <= F.col("want")
     cut = (
-        bins.withColumn("upto", so_far).join(sources.select("skey", "want"), "skey").filter("upto <= want")
-        .groupBy("skey").agg(F.max("bin").alias("full"), F.max("upto").alias("base"))
+        bins.withColumn("upto", so_far).join(small(sources.select("skey", "want")), "skey")
+        .groupBy("skey").agg(F.max(F.when(fits, F.col("bin"))).alias("full"), F.max(F.when(fits, F.col("upto"))).alias("base"), F.min(F.when(~fits, F.col("bin"))).alias("edge"))
     )
-    cut = sources.join(cut, "skey", "left").withColumn("full", F.coalesce("full", F.lit(-1))).withColumn("base", F.coalesce("base", F.lit(0)).cast("long"))
-    # full: the last bin that is taken whole.  The next one is the only one to be sorted.
+    # full: the last bin that is taken whole; edge: the next one that has documents, the only one to be sorted.
+    cut = sources.join(small(cut), "skey", "left").select("skey", "source_size", "target", "whole", "want", F.coalesce("full", F.lit(-1)).alias("full"), F.coalesce("base", F.lit(0)).cast("long").alias("base"), F.coalesce("edge", F.lit(-1)).alias("edge"))
     cut = written(cut, "mix-cut")
-    placed = sized.join(cut, "skey")
-    edge = placed.filter("bin = full + 1")
+    placed = sized.join(small(cut), "skey")
+    edge = placed.filter("bin = edge")
     run = Window.partitionBy("skey").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = edge.withColumn("extra", (F.col("base") + F.sum("size").over(run) <= F.col("want")).cast("int"))
-    rest = placed.filter("bin != full + 1").withColumn("extra", (F.col("bin") <= F.col("full")).cast("int"))
+    rest = placed.filter("bin != edge").withColumn("extra", (F.col("bin") <= F.col("full")).cast("int"))
     drawn = written(rest.unionByName(edge).select("doc_id", "skey", "size", "u", "source_size", "target", "whole", "want", "extra"), "mix-drawn")
 
     sums = drawn.groupBy("skey").agg(F.sum(F.col("extra") * F.col("size")).alias("got"), F.first("want").alias("goal"))
     missing = sums.select("skey", (F.col("goal") - F.col("got")).alias("missing")).filter("missing > 0")
-    left = drawn.filter("extra = 0 and size > 0").join(missing, "skey").filter("abs(size - missing) < missing")
+    left = drawn.filter("extra = 0 and size > 0").join(small(missing), "skey").filter("abs(size - missing) < missing")
     nearest = left.groupBy("skey").agg(F.min(F.struct(F.abs(F.col("size") - F.col("missing")).alias("off"), F.col("u"), F.col("doc_id"), F.col("size"))).alias("n"))
     nearest = nearest.select("skey", F.col("n.doc_id").alias("n_doc"), F.col("n.size").alias("n_size"))
-    chosen = drawn.join(nearest, "skey", "left")
+    chosen = drawn.join(small(nearest), "skey", "left")
     more = F.when((F.col("extra") == 0) & F.col("doc_id").eqNullSafe(F.col("n_doc")) & (F.col("size") == F.col("n_size")), 1).otherwise(F.col("extra"))
     return chosen.select("doc_id", "size", "skey", "source_size", "target", (F.col("size") * (F.col("whole") + more)).cast("long").alias("taken"))
 

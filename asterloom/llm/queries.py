@@ -82,6 +82,74 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+_WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1_SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format(text="text")} AS ws FROM documents),
+places AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 34)) AS i FROM w),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS s FROM places),
+twice AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM win JOIN twice USING (s), (SELECT unnest(generate_series(0, 34)) AS k)),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS p FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, cast(len(ws) AS bigint) AS n_words, cast(len(ws) - coalesce(n, 0) AS bigint) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+#: The smallest node that links (a, b) lead to, for the nodes of ``every`` (node).
+_COMPONENTS = """
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, root) AS (
+  SELECT node, node FROM every
+  UNION
+  SELECT b, root FROM reach JOIN both_ways ON a = node WHERE root < b
+),
+comp AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+"""
+
+OP3_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM w WHERE len(ws) > 0)
+  )
+),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+every AS (SELECT doc_id AS node FROM documents), {_COMPONENTS}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents JOIN comp ON node = doc_id LEFT JOIN n USING (doc_id)
+"""
+
+OP6_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, cast(embedding AS double[]) AS e FROM embeddings),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id WHERE list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(y.e, y.e)) >= 0.9),
+every AS (SELECT vec_id AS node FROM v), {_COMPONENTS}
+SELECT node AS vec_id, (SELECT count(*) FROM both_ways WHERE a = node) AS n_links, component_id, node = component_id AS kept FROM comp
+"""
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce('s' || source, 't') AS skey, cast(len({_WORDS.format(text="text")}) AS bigint) AS size, md5('17:' || doc_id) AS u FROM documents),
+s AS (SELECT skey, cast(sum(size) AS bigint) AS source_size FROM d GROUP BY skey),
+w AS (SELECT *, [1, 2, 3][(row_number() OVER (ORDER BY skey) - 1) % 3 + 1] AS weight, cast(source_size * 3 AS double) AS cap FROM s),
+f AS (
+  SELECT *, (sum(cast(source_size AS double)) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, skey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl
+  FROM w WHERE source_size > 0
+),
+level AS (SELECT arg_min(lvl, (cap / weight, skey)) AS level FROM f WHERE lvl * weight <= cap),
+t AS (SELECT w.skey, source_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(cap, coalesce(level * weight, cap)) END AS target FROM w, level),
+p AS (SELECT *, cast(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS bigint) AS whole FROM t),
+g AS (SELECT *, greatest(0, cast(round(target - whole * source_size) AS bigint)) AS want FROM p),
+x AS (SELECT *, CASE WHEN sum(size) OVER (PARTITION BY skey ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) <= want THEN 1 ELSE 0 END AS extra FROM d JOIN g USING (skey)),
+m AS (SELECT skey, any_value(want) - sum(extra * size) AS missing FROM x GROUP BY skey),
+near AS (SELECT skey, min((abs(size - missing), u, doc_id)) AS n FROM x JOIN m USING (skey) WHERE extra = 0 AND size > 0 AND abs(size - missing) < missing GROUP BY skey)
+SELECT doc_id, size, source_size, target, cast(size * (whole + CASE WHEN extra = 0 AND near.n[3] = doc_id THEN 1 ELSE extra END) AS bigint) AS taken
+FROM x LEFT JOIN near USING (skey)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -98,4 +166,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": OP9_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op6_embedding_dedup": OP6_SQL, "op9_url_filter": OP9_SQL, "op10_mix": OP10_SQL}
