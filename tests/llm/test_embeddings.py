@@ -45,6 +45,6 @@ def test_blocks_give_what_one_block_gives(spark, monkeypatch):
 
 def test_odd_vectors(spark):
     v = [1.0, 2.0, 3.0, 4.0]
-    rows = [(1, v), (2, None), (3, [0.0] * 4), (4, [float("nan"), 1, 1, 1]), (5, [float("inf"), 1, 1, 1]), (6, [None, 1.0, 1.0, 1.0]), (7, v), (8, [2.0, 4.0, 6.0, 8.0]), (9, []), (10, [1.0, 2.0, 3.0]), (11, [1e30, 2e30, 3e30, 4e30]), (12, [-1.0, -2.0, -3.0, -4.0])]
+    rows = [(1, v), (2, None), (3, [0.0] * 4), (4, [float("nan"), 1.0, 1.0, 1.0]), (5, [float("inf"), 1.0, 1.0, 1.0]), (6, [None, 1.0, 1.0, 1.0]), (7, v), (8, [2.0, 4.0, 6.0, 8.0]), (9, []), (10, [1.0, 2.0, 3.0]), (11, [1e30, 2e30, 3e30, 4e30]), (12, [-1.0, -2.0, -3.0, -4.0])]
     assert run(spark, rows) == plain(rows)
     assert run(spark, []) == [] and run(spark, [(2, None)]) == [(2, 0, 2, True)]
