@@ -69,6 +69,39 @@ def test_pruning_skips_blocks_and_changes_nothing():
     assert found.tolist() == all_found[:5].tolist() and score.tolist() == all_score[:5].tolist()
 
 
+def test_query_asks_with_whole_documents(spark):
+    from asterloom.llm import queries
+
+    docs = [tuple(r) for r in table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").collect()]
+    asked = {i: t for i, t in docs if i % 20 == 0}
+    got = {}
+    for r in queries.op5_topk_search(spark, "/root/testdata/sf0.001").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    assert set(got) == {i for i, t in asked.items() if brute.words(low(t))} and len(got) >= 9
+    for i, found in got.items():
+        want = plain_search(docs, asked[i], 10)
+        assert [s for _, s in found] == pytest.approx([s for _, s in want])
+        if len({round(s, 9) for _, s in want}) == len(want):
+            assert [d for d, _ in found] == [d for d, _ in want]
+
+
+def test_long_queries_in_blocks_and_ties_by_id(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "SHARD_WORDS", 500)
+    monkeypatch.setattr(bm25, "QUERY_BLOCK", 3)
+    rng = random.Random(9)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randint(10, 60))) for _ in range(60)]
+    docs = [(i, texts[i % 60]) for i in range(240)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(7, texts[0]), (7, texts[1]), (None, texts[2]), *((i, texts[i]) for i in range(20, 40))], "item_id long, text string")
+    got = bm25.search(bm25.build_index(d), asked, k=6).collect()
+    assert sum(r.item_id == 7 for r in got) == 12 and sum(r.item_id is None for r in got) == 6
+    for i in range(20, 40):
+        found = sorted((r.rank, r.doc_id, r.score) for r in got if r.item_id == i)
+        want = plain_search(docs, texts[i], 6)
+        assert [x[2] for x in found] == pytest.approx([s for _, s in want])
+        assert [x[1] for x in found[:4]] == [i, i + 60, i + 120, i + 180]
+
+
 ALPHABET = ["a", "b", " ", " ", "  ", "\n", "'s", "é", "1", ".", "🙂", " ", "word", " the", "\t "]
 
 
