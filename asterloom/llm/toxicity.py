@@ -1,8 +1,11 @@
-"""Toxicity by compression distance between two zstandard dictionaries.
+"""Toxicity by compression distance between two zstandard dictionaries, of which one is trained.
 
 A window is three words.  It is compressed with a dictionary trained on ordinary
 text, and with one that also knows toxic text: the ordinary dictionary followed
-by the words, and beginnings of words, that mark labelled toxic documents.  The pair of lengths is a
+by the words, and beginnings of words, that mark labelled toxic documents.  No
+dictionary is trained on toxic text (the README has figures of that), so phrases
+of words that are ordinary one by one, and words in less than ``LEAST_SHARE`` of
+the toxic rows, are not found.  The pair of lengths is a
 cell of a small table; cells are calibrated to log odds on labelled documents,
 and a document's score is a logistic function of its windows' largest and
 summed log odds.  Everything is fitted on labelled rows only, at most ``TOXIC_ROWS`` and
