@@ -64,6 +64,31 @@ def test_plans_hold_the_histogram_and_are_near_the_bound(seed):
     assert -(-int(lengths.sum()) // 2048) <= sum(t for _, t in plan) <= best_fit_decreasing(lengths) + 1
 
 
+@pytest.mark.parametrize(("low", "high", "n", "gap"), [(1, 2047, 20_000, 0.001), (600, 1100, 20_000, 0.01), (300, 900, 20_000, 0.005)])
+def test_the_program_makes_the_sequences_and_bounds_them(low, high, n, gap):
+    lengths = np.random.default_rng(7).integers(low, high + 1, n)
+    plan = packing.plan_of({int(k): int(v) for k, v in zip(*np.unique(lengths, return_counts=True))})
+    by_program, rest = (sum(t for _, t in x) for x in (plan.rounded, plan.rest))
+    assert by_program >= 0.9 * (by_program + rest)
+    assert lengths.sum() / 2048 - 1e-6 <= plan.bound * 1.001 and plan.bound <= by_program + rest <= plan.bound * (1 + gap) + plan.columns
+    # No configuration of any kind costs more than 1 by prices that give the bound, so no plan has fewer sequences than the bound.
+    assert plan.bound <= best_fit_decreasing(lengths)
+
+
+def test_the_program_on_real_lengths(spark):
+    cut = packing.pieces(table(spark, "/root/testdata/sf0.1", "documents")).filter("length < 2048").groupBy("length").count()
+    plan = packing.plan_of({r.length: r["count"] for r in cut.collect()})
+    by_program, rest = (sum(t for _, t in x) for x in (plan.rounded, plan.rest))
+    assert by_program >= 0.9 * (by_program + rest) and by_program + rest <= plan.bound + 2
+
+
+def test_a_bound_is_reached_where_the_best_plan_is_known():
+    # Three of 682 fit, two of 683 to 1024, one of 1025 or more beside one of 1023 or less.
+    for histogram, best in (({682: 300}, 100), ({683: 301}, 151), ({1025: 50, 1023: 50}, 50), ({1200: 40, 800: 10}, 40), ({2047: 7, 1: 7}, 7)):
+        plan = packing.plan_of(histogram)
+        assert sum(t for _, t in plan.rounded + plan.rest) == best and best - 1 < plan.bound + 0.01 <= best + 0.02
+
+
 def best_fit_decreasing(lengths):
     room = []
     for x in sorted(map(int, lengths), reverse=True):
