@@ -17,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share; one of our own where it is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``, which all executors share.  Where it is unset, as in tests, one of our own, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="asterloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

@@ -16,14 +16,15 @@ share of the rows.
 
 Defined results: a null text has size 0, a null source is a source of its own
 and comes last.  A source without words has target 0 and takes nothing.  Rows
-that repeat a document id are separate rows; those of equal size and source are
-all given the nearest-fit repetition or none is.  An empty table gives an empty
-result.  Columns besides those named are not read.
+that repeat a document id, a null one included, are separate rows; those of equal
+size and source come equally often.  A document without words comes as often as
+its place in the order says, though it takes nothing.  An empty table gives an
+empty result.  Columns besides those named are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import n_words, written
@@ -49,13 +50,13 @@ def water_fill(sources: DataFrame, *, max_epochs: int = 3) -> DataFrame:
     return sources.join(filled.select("skey", "target"), "skey", "left").withColumn("target", F.coalesce("target", F.lit(0.0)))
 
 
+def _source_key(source: str) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("t"))  # null after every name
+
+
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 17) -> DataFrame:
-    """doc_id, size, skey, source_size, target, taken of every row of ``docs``; the weights repeat over the sources by code point."""
-    sized = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("t")).alias("skey"),  # null after every name
-        n_words(text).alias("size"),
-    )
+    """doc_id, size, skey, source_size, target, taken, times and a hash of the text (h) of every row of ``docs``; the weights repeat over the sources by code point."""
+    sized = docs.select(F.col(doc_id).alias("doc_id"), _source_key(source).alias("skey"), n_words(text).alias("size"), F.xxhash64(text).alias("h"))
     # The order is that of an MD5 digest, which SQL engines share; a bin is its first three hex digits.
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = sized.withColumn("u", order).withColumn("bin", F.conv(F.substring("u", 1, 3), 16, 10).cast("int"))
@@ -83,10 +84,10 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     cut = written(cut, "mix-cut")
     placed = sized.join(small(cut), "skey")
     edge = placed.filter("bin = edge")
-    run = Window.partitionBy("skey").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy("skey").orderBy("u", "doc_id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     edge = edge.withColumn("extra", (F.col("base") + F.sum("size").over(run) <= F.col("want")).cast("int"))
     rest = placed.filter("bin != edge").withColumn("extra", (F.col("bin") <= F.col("full")).cast("int"))
-    drawn = written(rest.unionByName(edge).select("doc_id", "skey", "size", "u", "source_size", "target", "whole", "want", "extra"), "mix-drawn")
+    drawn = written(rest.unionByName(edge).select("doc_id", "skey", "size", "h", "u", "source_size", "target", "whole", "want", "extra"), "mix-drawn")
 
     sums = drawn.groupBy("skey").agg(F.sum(F.col("extra") * F.col("size")).alias("got"), F.first("want").alias("goal"))
     missing = sums.select("skey", (F.col("goal") - F.col("got")).alias("missing")).filter("missing > 0")
@@ -95,10 +96,19 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     nearest = nearest.select("skey", F.col("n.doc_id").alias("n_doc"), F.col("n.size").alias("n_size"))
     chosen = drawn.join(small(nearest), "skey", "left")
     more = F.when((F.col("extra") == 0) & F.col("doc_id").eqNullSafe(F.col("n_doc")) & (F.col("size") == F.col("n_size")), 1).otherwise(F.col("extra"))
-    return chosen.select("doc_id", "size", "skey", "source_size", "target", (F.col("size") * (F.col("whole") + more)).cast("long").alias("taken"))
-
-
-def repeat(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; the columns stay."""
-    mixed = mix(docs, **options).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("int").alias("_times"))
-    return docs.join(mixed, "doc_id").filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_copy").select(*docs.columns)
+    chosen = chosen.withColumn("times", (F.col("whole") + more).cast("int"))
+    return chosen.select("doc_id", "size", "skey", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "times", "h")
+
+
+def repeat(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; the columns stay.
+
+    Rows are found again by id, source and text, so repeated and null ids lose
+    nothing.  Rows of a source without any words, which the mix can't share out, come once.
+    """
+    times = F.when(F.col("source_size") > 0, F.col("times")).otherwise(1)
+    mixed = mix(docs, doc_id=doc_id, text=text, source=source, **options).groupBy("doc_id", "skey", "h").agg(F.max(times).alias("times"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), _source_key(source).alias("key"), F.xxhash64(text).alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("skey")) & (F.col("hash") == F.col("h"))
+    taken = rows.join(mixed.filter("times > 0"), same)
+    return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("copy")).select("row.*")

@@ -144,7 +144,7 @@ level AS (SELECT arg_min(lvl, (cap / weight, skey)) AS level FROM f WHERE lvl *
 t AS (SELECT w.skey, source_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(cap, coalesce(level * weight, cap)) END AS target FROM w, level),
 p AS (SELECT *, cast(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS bigint) AS whole FROM t),
 g AS (SELECT *, greatest(0, cast(round(target - whole * source_size) AS bigint)) AS want FROM p),
-x AS (SELECT *, CASE WHEN sum(size) OVER (PARTITION BY skey ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) <= want THEN 1 ELSE 0 END AS extra FROM d JOIN g USING (skey)),
+x AS (SELECT *, CASE WHEN sum(size) OVER (PARTITION BY skey ORDER BY u, doc_id, size RANGE UNBOUNDED PRECEDING) <= want THEN 1 ELSE 0 END AS extra FROM d JOIN g USING (skey)),
 m AS (SELECT skey, any_value(want) - sum(extra * size) AS missing FROM x GROUP BY skey),
 near AS (SELECT skey, min((abs(size - missing), u, doc_id)) AS n FROM x JOIN m USING (skey) WHERE extra = 0 AND size > 0 AND abs(size - missing) < missing GROUP BY skey)
 SELECT doc_id, size, source_size, target, cast(size * (whole + CASE WHEN extra = 0 AND near.n[3] = doc_id THEN 1 ELSE extra END) AS bigint) AS taken
