@@ -21,25 +21,37 @@ REDACTED = "<secret>"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted to be toxic go."""
+    """Rows predicted to be toxic go; all others stay, whatever their ids, also those without text."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard index of 0.8 or more the one of smallest id stays."""
-    found = jaccard.similar_documents(docs)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of documents linked by a Jaccard index of 0.8 or more one row stays: of the smallest id, nulls last.
+
+    Rows are told apart by a hash of id and text, not by their ids: rows that
+    repeat both are one document, rows that share an id only are judged each by
+    its text, and rows without an id like others.  Documents without words link
+    with nothing and stay.  Other columns play no part and may have any name.
+    """
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    found = jaccard.similar_documents(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")))
+    ids = keyed.groupBy(F.col("key").alias("doc_id")).agg(F.min("row.doc_id").alias("id"), F.count("*").alias("rows"))
+    groups = found.select("doc_id", "component_id").distinct().join(ids, "doc_id").groupBy("component_id")
+    kept = groups.agg(F.min(F.struct(F.col("id").isNull(), "id", F.col("doc_id").alias("key"), "rows")).alias("best")).select("best.key", "best.rows")
+    kept = written(kept, "pipeline-kept")
+    once = keyed.join(kept.filter("rows = 1"), "key", "left_semi").select("row")
+    repeated = keyed.join(kept.filter("rows > 1"), "key", "left_semi").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return once.unionByName(repeated).select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the text; n_chars follows."""
+    """Secrets are replaced in the text; n_chars follows.  Every row stays."""
     clean = secrets.find_secrets(docs, redact=REDACTED)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix of sources takes them."""
+    """Rows come as often as the mix of sources takes them: see ``mixing.repeat`` for those without id or words."""
     return mixing.repeat(docs)
 
 
