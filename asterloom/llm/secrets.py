@@ -2,8 +2,13 @@
 
 The patterns' spans always stand.  The field tags every word as outside, begin
 or inside of a secret from its shape, the words beside it, and what its file is
-like; it is trained on stretches of text around pattern matches and on ordinary
-stretches, at most ``STRETCHES`` of each kind, labelled by the patterns.
+like.  It is trained on stretches of text around pattern matches and around the
+longest and another word that no pattern matches, at most ``STRETCHES`` of each kind
+(of a document the first ``PER_TEXT`` matches; of stretches up to ``LONGEST`` bytes).
+The patterns' labels alone would teach it the patterns.  So their formats are
+masked too: each stretch comes again with a key of another alphabet, length and
+surroundings in place of its match, or put between ordinary words; and with
+addresses, numbers, paths, rules and compound words, labelled as outside.
 Decoding is Viterbi over whole texts: words that lie outside on any path,
 whatever their neighbours are, are set apart first, which is exact, and the
 stretches between them are decoded.  Its spans are added where they touch no
@@ -18,6 +23,7 @@ empty result.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,11 +44,14 @@ HEX = re.compile(rb"[0-9a-f]{32,}")
 LEAST_ASSIGNED = 8
 
 OUTSIDE, BEGIN, INSIDE = range(3)
-#: Stretches of each kind that the field is trained on, the words on each side of a match, and the longest stretch in bytes.
-STRETCHES, AROUND, LONGEST = 1500, 12, 4096
+#: Stretches of each kind that the field is trained on, those of one document, the words on each side of a match, and the longest stretch in bytes.
+STRETCHES, PER_TEXT, AROUND, LONGEST = 1500, 4, 12, 4096
+#: What keys that no pattern matches are made of, and what stands before and after them.
+ALPHABETS = ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEF", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/")
+SETTINGS = (("", ""), ("", ""), ('"', '"'), ("'", "',"), ("key=", ""), ("auth:", ""), ('"cred":"', '",'), ("<", ">"), ("", "."), ("sig=", ";"))
 NEIGHBOURS = 512
-#: Numbers of values of: shape, digits and changes, word before, word after, file.
-FEATURES = (256, 36, NEIGHBOURS, NEIGHBOURS, 16)
+#: Numbers of values of: shape, digits and changes, changes a byte by kinds of bytes, word before, word after, file.
+FEATURES = (256, 36, 40, NEIGHBOURS, NEIGHBOURS, 16)
 FIRST = np.cumsum((0, *FEATURES[:-1]))
 
 
@@ -78,6 +87,7 @@ def features(words: Words, file: np.ndarray) -> np.ndarray:
     size = np.searchsorted([2, 4, 8, 12, 16, 20, 28, 36, 44, 60, 80, 100, 140, 200, 400], length)
     shape = size * 16 + (n_digit > 0) + 2 * (n_upper > 0) + 4 * (n_lower > 0) + 8 * (n_digit + n_upper + n_lower < length)
     texture = np.searchsorted([0.01, 0.2, 0.4, 0.7, 0.95], n_digit / length) * 6 + np.searchsorted([1, 3, 6, 12, 24], changes)
+    mixed = np.searchsorted([0.1, 0.25, 0.4, 0.55], changes / length) * 8 + (n_digit > 0) + 2 * (n_upper > 0) + 4 * (n_lower > 0)
     row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
     bucket = (mix(words.hash) % np.uint64(NEIGHBOURS - 1)).astype(np.int64) + 1  # 0: no such word
     before, after = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
@@ -85,7 +95,7 @@ def features(words: Words, file: np.ndarray) -> np.ndarray:
         same = row[1:] == row[:-1]
         before[1:][same] = bucket[:-1][same]
         after[:-1][same] = bucket[1:][same]
-    return np.stack([shape, texture, before, after, file[row]], 1) + FIRST
+    return np.stack([shape, texture, mixed, before, after, file[row]], 1) + FIRST
 
 
 @dataclass
@@ -143,7 +153,7 @@ class Field:
 FORBIDDEN = -1e4
 
 
-def train(sequences: list[tuple[np.ndarray, np.ndarray]], *, steps: int = 120, rate: float = 0.15, ridge: float = 1e-3) -> Field:
+def train(sequences: list[tuple[np.ndarray, np.ndarray]], *, steps: int = 160, rate: float = 0.15, ridge: float = 2e-4) -> Field:
     """The field of greatest likelihood on (features, tags), by gradient steps over forward-backward marginals."""
     longest = max(len(t) for _, t in sequences)
     n = len(sequences)
@@ -159,6 +169,7 @@ def train(sequences: list[tuple[np.ndarray, np.ndarray]], *, steps: int = 120, r
     pair = np.zeros((3, 3))
     prior = np.concatenate([np.zeros((n, 1), np.int64), y[:, :-1]], 1)
     np.add.at(pair, (prior[live], y[live]), 1)
+    places = [f[..., c][live] for c in range(len(FEATURES))]
     for step in range(1, steps + 1):
         e = w[f].sum(2)
         a = m + allowed
@@ -173,8 +184,9 @@ def train(sequences: list[tuple[np.ndarray, np.ndarray]], *, steps: int = 120, r
         p = np.exp(alpha + beta - total[:, None, None]) * live[..., None]
         gw = np.zeros_like(w)
         delta = (truth - p)[live]
-        for c in range(len(FEATURES)):
-            np.add.at(gw, f[..., c][live], delta)
+        for c, at in enumerate(places):
+            for tag in range(3):
+                gw[:, tag] += np.bincount(at, delta[:, tag], len(gw))
         gm = pair.copy()
         gm[OUTSIDE] -= p[:, 0].sum(0)
         for t in range(1, longest):
@@ -196,6 +208,49 @@ def _tags(words: Words, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return tags
 
 
+def _key(rng: random.Random) -> bytes:
+    before, after = rng.choice(SETTINGS)
+    return f"{before}{''.join(rng.choices(rng.choice(ALPHABETS), k=rng.randint(20, 64)))}{after}".encode()
+
+
+def _decoy(rng: random.Random, words: list[bytes]) -> bytes:
+    """A long word that is no secret."""
+    some = lambda low, high: [rng.choice(words).strip(b".,;:!?").decode(errors="ignore") or "a" for _ in range(rng.randint(low, high))]
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    made = (
+        lambda: "".join(some(2, 7)),
+        lambda: "".join(w.capitalize() for w in some(2, 6)),
+        lambda: rng.choice("_-/.|").join(some(3, 8)),
+        lambda: "https://" + ".".join(some(2, 3)) + "/" + "/".join(some(1, 5)) + rng.choice(("", ".html", "?page=" + digits(2))),
+        lambda: rng.choice("._-").join([*some(1, 2), digits(rng.randint(1, 3))]) + "@" + ".".join([some(1, 1)[0] + digits(rng.randint(0, 2)), *some(1, 1), "com"]),
+        lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        lambda: digits(rng.randint(8, 24)),
+        lambda: f"{digits(4)}-{digits(2)}-{digits(2)}T{digits(2)}:{digits(2)}:{digits(2)}Z",
+        lambda: f"{digits(3)}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}",
+        lambda: "/" + "/".join(some(3, 6)) + rng.choice((".py", ".txt", digits(3) + ".log")),
+        lambda: rng.choice("=-*#_.!aAxX0") * rng.randint(20, 80),
+        lambda: rng.choice(some(1, 1)) * rng.randint(2, 12),
+        lambda: rng.choice(some(1, 1)) + rng.choice("$#%&*!") * 3,
+    )
+    return rng.choice(made)().encode()
+
+
+def _masked(words: list[bytes], tags: list[int], rng: random.Random) -> Iterator[tuple[list[bytes], list[int]]]:
+    """The stretch with a key that no pattern matches, and with decoys."""
+    outside = [w for w, t in zip(words, tags) if t == OUTSIDE] or [b"a"]
+    decoyed = [_decoy(rng, outside) if t == OUTSIDE and rng.random() < 0.2 else w for w, t in zip(words, tags)]
+    yield decoyed, tags
+    base = decoyed if rng.random() < 0.5 else words
+    begin = [i for i, t in enumerate(tags) if t == BEGIN]
+    if begin:
+        at, to = begin[0], begin[0] + 1
+        while to < len(tags) and tags[to] == INSIDE:
+            to += 1
+    else:
+        at = to = rng.randint(0, len(words))
+    yield [*base[:at], _key(rng), *base[to:]], [*tags[:at], BEGIN, *tags[to:]]
+
+
 def fit(docs: DataFrame) -> Field | None:
     """Trains on stretches of ``docs`` (text), drawn by a hash over all rows."""
 
@@ -211,9 +266,10 @@ def fit(docs: DataFrame) -> Field | None:
                         continue
                     text = whole[offsets[i] : offsets[i + 1]]
                     spans = pattern_spans(text)
-                    centre = [(1, np.searchsorted(words.start, offsets[i] + s, "right") - 1) for s, _, _ in spans[:4]]
-                    pick = int(words.hash[a] ^ words.hash[b - 1]) % int(b - a)
-                    centre.append((0, a + pick))
+                    centre = [(1, np.searchsorted(words.start, offsets[i] + s, "right") - 1) for s, _, _ in spans[:PER_TEXT]]
+                    size = words.end[a:b] - words.start[a:b]
+                    size[_tags(words, [(s + offsets[i], k, e + offsets[i]) for s, k, e in spans])[a:b] > 0] = 0
+                    centre += [(0, a + int(size.argmax())), (0, a + int(words.hash[a] ^ words.hash[b - 1]) % int(b - a))]
                     for kind, c in centre:
                         first, last = max(a, c - AROUND), min(b, c + AROUND + 1) - 1
                         part = whole[words.start[first] : words.end[last]]
@@ -232,14 +288,19 @@ def fit(docs: DataFrame) -> Field | None:
         rows += few.orderBy(F.pmod("h", F.lit(1 << 40)), "part").limit(STRETCHES).collect()
     if not any(r.kind for r in rows):
         return None
-    sequences, seen = [], set()
+    sequences, seen, rng = [], set(), random.Random(29)
     for r in rows:
         part = bytes(r.part)
         if part in seen:
             continue
         seen.add(part)
-        words = Words(np.frombuffer(part, np.uint8), np.array([0, len(part)]))
-        sequences.append((features(words, np.array([r.file])), _tags(words, pattern_spans(part))))
+        found = Words(np.frombuffer(part, np.uint8), np.array([0, len(part)]))
+        tags, file = _tags(found, pattern_spans(part)).tolist(), np.array([r.file])
+        sequences.append((features(found, file), np.array(tags)))
+        for words, their in _masked([part[x:y] for x, y in zip(found.start, found.end)], tags, rng):
+            text = b" ".join(words)
+            if len(pattern_spans(text)) <= sum(t == BEGIN for t in their):  # no decoy that is a pattern's match
+                sequences.append((features(Words(np.frombuffer(text, np.uint8), np.array([0, len(text)])), file), np.array(their)))
     return train(sequences)
 
 
