@@ -87,9 +87,16 @@ def semi_join(fact: DataFrame, dim: DataFrame, fk: str, pk: str, *preds: Pred) -
 
 
 def partitioned_join(left: DataFrame, right: DataFrame, on: str, parts: int | None = None) -> DataFrame:
-    """A hash join after both sides are dealt out by the key."""
-    deal = (lambda d: d.repartition(parts, on)) if parts else (lambda d: d.repartition(on))
-    return deal(left).join(deal(right).hint("shuffle_hash"), on)
+    """A join of which both sides are dealt out by the key and meet part by part.
+
+    The exchanges are the join's own, so the adaptive planner may split a part
+    that a hot key fills, and merge is what it falls back to where a part is too
+    large to be built in memory.  ``parts`` is a number of parts to aim at.
+    """
+    if not parts:
+        return left.join(right.hint("merge"), on)
+    spread = F.pmod(F.xxhash64(on), F.lit(parts)).alias("_part")
+    return left.select("*", spread).join(right.select("*", spread).hint("merge"), ["_part", on]).drop("_part")
 
 
 def group_sum(df: DataFrame, keys: Sequence[str], measure: Column, name: str) -> DataFrame:

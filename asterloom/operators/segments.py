@@ -1,8 +1,8 @@
 """Segments, zone maps and segment skipping.
 
 A segment is ``rows`` consecutive rows of a table in date order.  Positions
-come from counts per day and a sort within a day, so the table is never sorted
-in one task.  A zone map holds each segment's least and greatest value; a
+come from counts per day, counts per range of the next column within a day, and
+a sort within such a range, so neither the table nor a day is sorted in one task.  A zone map holds each segment's least and greatest value; a
 predicate whose range misses it cannot pass there, so the segment is skipped.
 Skipping is only ever a hint: the predicate itself is applied too.
 """
@@ -17,15 +17,26 @@ from pyspark.sql import functions as F
 from .relational import Pred, select
 
 SEGMENT_ROWS = 1 << 20
+#: Order keys of a day that are ranked together.
+RANGE_WIDTH = 1 << 24
 
 
-def with_segments(df: DataFrame, by: str, rows: int = SEGMENT_ROWS) -> DataFrame:
-    """``df`` with segment_id: its position in the order of ``by`` and all other columns, over ``rows``."""
+def with_segments(df: DataFrame, by: str, rows: int = SEGMENT_ROWS, width: int = RANGE_WIDTH) -> DataFrame:
+    """``df`` with segment_id: its position in the order of ``by`` and all other columns, over ``rows``.
+
+    The first of the other columns is cut into ranges of ``width`` if it is a whole number.
+    """
     rest = [c for c in df.columns if c != by]
-    starts = df.groupBy(by).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = df.join(starts.select(by, "_before"), by)
-    at = F.col("_before") + F.row_number().over(Window.partitionBy(by).orderBy(*rest)) - 1
-    return placed.withColumn("segment_id", F.floor(at / rows).cast("bigint")).select(*df.columns, "segment_id")
+    whole = bool(rest) and df.schema[rest[0]].dataType.typeName() in ("byte", "short", "integer", "long")
+    df = df.withColumn("_range", F.floor(F.col(rest[0]) / width) if whole else F.lit(0).cast("bigint"))
+    up_to = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = df.groupBy(by, "_range").agg(F.count("*").alias("_n"))
+    days = ranges.groupBy(by).agg(F.sum("_n").alias("_n")).select(F.col(by).alias("_by"), up_to(Window.orderBy(by)).alias("_days"))  # a row a day
+    starts = ranges.withColumn("_before", up_to(Window.partitionBy(by).orderBy("_range"))).join(days, F.col(by).eqNullSafe(F.col("_by")))
+    starts = starts.select(F.col(by).alias("_by"), F.col("_range").alias("_of"), (F.col("_days") + F.col("_before")).alias("_start"))
+    placed = df.join(starts, F.col(by).eqNullSafe(F.col("_by")) & F.col("_range").eqNullSafe(F.col("_of")))
+    at = F.col("_start") + F.row_number().over(Window.partitionBy(by, "_range").orderBy(*rest)) - 1
+    return placed.withColumn("segment_id", F.floor(at / rows).cast("bigint")).select(*(c for c in df.columns if c != "_range"), "segment_id")
 
 
 def zone_map(segmented: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -78,6 +78,21 @@ def _encoded(s, d):
     return brands.unionByName(regions.select("mfgr", F.lit(-1).alias("category"), F.lit(-1).alias("brand"), "n_rows"))
 
 
+def _places(s, d):
+    """Nation and city codes back and forth; the test tables' nations are not the benchmark's, so codes are where it starts."""
+    c = Star(s, d).customer().select((F.pmod("c_custkey", F.lit(25))).cast("int").alias("code"), F.pmod("c_custkey", F.lit(10)).cast("int").alias("digit"))
+    city = codec.decode_city(F.col("code") * 10 + F.col("digit"))
+    named = c.select(codec.decode_nation(F.col("code")).alias("nation"), city.alias("city"))
+    return named.groupBy("nation", "city", codec.encode_nation(F.col("nation")).alias("nation_code"), codec.encode_city(F.col("city"), F.col("nation")).alias("city_code")).agg(F.count("*").alias("n_rows"))
+
+
+_PLACES_SQL = f"""
+WITH n AS (SELECT [{', '.join(f"'{x}'" for x in codec.NATIONS)}] AS names),
+c AS (SELECT cast(c_custkey % 25 AS integer) AS nation_code, cast((c_custkey % 25) * 10 + c_custkey % 10 AS integer) AS city_code FROM customer)
+SELECT names[nation_code + 1] AS nation, rpad(left(names[nation_code + 1], 9), 9, ' ') || (city_code % 10) AS city, nation_code, city_code, count(*) AS n_rows
+FROM c, n GROUP BY ALL"""
+
+
 def _entries() -> list[tuple[str, Query, str | None]]:
     v = f"WITH {VIEWS_SQL} "
     out: list[tuple[str, Query, str | None]] = []
@@ -100,6 +115,8 @@ def _entries() -> list[tuple[str, Query, str | None]]:
         ("join_sum_add", lambda s, d: scalar_sum((p := _pair(s, d))[0].join(p[1], "key"), F.col(q).cast("bigint") + F.col("val"), "total"), v + "SELECT cast(sum(lo_quantity + p_brand1) AS bigint) AS total FROM lineorder JOIN star_part ON lo_partkey = p_partkey"),
         ("join_matches_checksum", lambda s, d: (p := _pair(s, d))[0].join(p[1], "key").agg(F.count("*").alias("matches"), F.sum(F.col("val").cast("bigint")).alias("checksum")), v + "SELECT count(*) AS matches, cast(sum(p_brand1) AS bigint) AS checksum FROM lineorder JOIN star_part ON lo_partkey = p_partkey"),
         ("join_partitioned", lambda s, d: partitioned_join(*_pair(s, d), "key").agg(F.count("*").alias("matches"), F.sum(F.col("val").cast("bigint")).alias("checksum")), v + "SELECT count(*) AS matches, cast(sum(p_brand1) AS bigint) AS checksum FROM lineorder JOIN star_part ON lo_partkey = p_partkey"),
+        ("encode_places", _places, _PLACES_SQL),
+        ("agg_sum_float", lambda s, d: Star(s, d).table("lineitem").agg(F.round(F.sum(F.col("l_extendedprice").cast("double") / 1000), 3).alias("total")), "SELECT round(sum(cast(l_extendedprice AS double) / 1000), 3) AS total FROM lineitem"),
         ("agg_sum", lambda s, d: scalar_sum(_fact(s, d, "lo_revenue"), F.col("lo_revenue"), "total"), v + "SELECT cast(sum(lo_revenue) AS bigint) AS total FROM lineorder"),
         ("agg_sum_product", lambda s, d: scalar_sum(_fact(s, d, "lo_extendedprice", disc), product(F.col("lo_extendedprice"), F.col(disc)), "total"), v + "SELECT cast(sum(lo_extendedprice * lo_discount) AS bigint) AS total FROM lineorder"),
         ("agg_count", lambda s, d: _fact(s, d, disc).groupBy(disc).agg(F.count("*").alias("n_rows")), v + "SELECT lo_discount, count(*) AS n_rows FROM lineorder GROUP BY lo_discount"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import difference, product
 from ..operators.relational import DimJoin, Pred, group_sum, select, star_join
+from ..sources.prepared import PreparedStar
 from ..sources.star import VIEWS_SQL, Star
 
 #: name of the result column, fact columns, DataFrame expression, SQL.
@@ -47,17 +48,20 @@ class QuerySpec:
         """The range of day keys that the date predicates imply.  It narrows the scan and changes no answer."""
         low, high = 0, 99991231
         for p in [q for d in self.dims if d.table == "ddate" for q in d.preds] + [q for q in self.fact if q.column == "lo_orderdate"]:
+            if p.column == "d_yearmonth" and p.op == "eq":
+                month = "JanFebMarAprMayJunJulAugSepOctNovDec".find(p.values[0][:3]) // 3 + 1
+                p = Pred("d_yearmonthnum", "eq", (int(p.values[0][3:]) * 100 + month,))
             unit = {"d_year": (10000, 101, 1231), "d_yearmonthnum": (100, 1, 31), "d_datekey": (1, 0, 0), "lo_orderdate": (1, 0, 0)}.get(p.column)
             if unit and (b := p.bounds()):
                 low, high = max(low, b[0] * unit[0] + unit[1]), min(high, b[1] * unit[0] + unit[2])
         return (low, high) if low > 0 and high < 99991231 else None
 
 
-def compile_df(spec: QuerySpec, star: Star, *, implied_dates: bool = True) -> DataFrame:
+def compile_df(spec: QuerySpec, star: Star | PreparedStar, *, implied_dates: bool = True) -> DataFrame:
     dates = spec.date_range() if implied_dates else None
     if dates and not _real_days(dates):
         dates = None
-    fact = select(star.lineorder(spec.fact_columns() or ("lo_orderkey",), dates), *spec.fact)
+    fact = select(star.lineorder(spec.fact_columns() or ("lo_orderkey",), dates, spec.fact), *spec.fact)
     name, _, expression, _ = MEASURES[spec.measure]
     out = group_sum(star_join(fact, [(d, star.dimension(d.table)) for d in spec.dims]), spec.keys, expression(), name)
     return out.orderBy(*[F.col(c).asc() if up else F.col(c).desc() for c, up in spec.order]) if spec.order else out

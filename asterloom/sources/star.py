@@ -8,7 +8,7 @@ hundredths of hundredths, so that a discount needs no division.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +31,10 @@ def text_schema(name: str) -> T.StructType:
     return T.StructType([T.StructField(c.split(":")[0], kinds[c.split(":")[1]], False) for c in TEXT_COLUMNS[name].split()])
 
 
-def read_text(spark: SparkSession, path: str, name: str, sep: str = "|") -> DataFrame:
-    """A text table; the separator that ends each line is no column."""
+def read_text(spark: SparkSession, path: str, name: str, sep: str = "|", *, header: bool = False) -> DataFrame:
+    """A text table; the separator that ends each line is no column, nor is a first line of names, with ``header``, a row."""
     schema = text_schema(name)
-    return spark.read.schema(schema.add("_end", T.StringType())).option("sep", sep).option("mode", "FAILFAST").csv(path).drop("_end")
+    return spark.read.schema(schema.add("_end", T.StringType())).option("sep", sep).option("header", header).option("enforceSchema", True).option("mode", "FAILFAST").csv(path).drop("_end")
 
 
 def read_columns(spark: SparkSession, path: str, *columns: str) -> DataFrame:
@@ -53,7 +53,8 @@ def key_violations(fact: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
         if fk in fact.columns and table in dims:
             orphans = fact.join(dims[table].select(F.col(pk).alias(fk)), fk, "left_anti").agg(F.count("*").alias("orphans"))
             repeated = dims[table].groupBy(pk).count().filter("count > 1").agg(F.count("*").alias("repeated"))
-            row = orphans.join(repeated).select(F.lit(fk).alias("fk"), "orphans", "repeated")
+            both = orphans.select("orphans", F.lit(0).cast("long").alias("repeated")).unionByName(repeated.select(F.lit(0).cast("long").alias("orphans"), "repeated"))
+            row = both.agg(F.sum("orphans").alias("orphans"), F.sum("repeated").alias("repeated")).select(F.lit(fk).alias("fk"), "orphans", "repeated")
             out = row if out is None else out.unionByName(row)
     return out
 
@@ -71,13 +72,16 @@ class Star:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def lineorder(self, columns: Iterable[str] | None = None, dates: tuple[int, int] | None = None) -> DataFrame:
-        """Fact rows.  ``part`` is joined for the supply cost only; ``dates``, inclusive day keys, also become a range on the order's timestamp, which reaches the scan."""
+    def lineorder(self, columns: Iterable[str] | None = None, dates: tuple[int, int] | None = None, preds: Sequence = ()) -> DataFrame:
+        """Fact rows.  ``part`` is joined for the supply cost only, ``orders`` for its columns or ``dates`` only: every line item has its order.
+
+        ``dates``, inclusive day keys, also become a range on the order's timestamp, which reaches the scan; ``preds`` are no use here.
+        """
         orders = self.table("orders")
         if dates:
             day = lambda k: F.make_timestamp(*(F.lit(x) for x in (k // 10000, k // 100 % 100, k % 100, 0, 0, 0)))
             orders = orders.filter((F.col("o_orderdate") >= day(dates[0])) & (F.col("o_orderdate") < day(dates[1]) + F.expr("INTERVAL 1 DAY")))
-        rows = self.table("lineitem").join(orders.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+        rows = self.table("lineitem")
         quantity, discount = F.round("l_quantity").cast("int"), F.round(F.col("l_discount") * 100).cast("int")
         price = F.round(F.col("l_extendedprice") * 100).cast("bigint")
         known = {
@@ -86,6 +90,8 @@ class Star:
             "lo_extendedprice": price, "lo_revenue": price * (100 - discount),
         }
         wanted = list(columns) if columns is not None else [*known, "lo_supplycost"]
+        if dates or {"lo_custkey", "lo_orderdate"} & set(wanted):
+            rows = rows.join(orders.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
         if "lo_supplycost" in wanted:
             rows = rows.join(self.table("part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
             known["lo_supplycost"] = quantity * F.round(F.col("p_retailprice") * 60).cast("bigint") * 100
@@ -113,9 +119,11 @@ class Star:
         return rows.select("*", codec.decode_mfgr(F.col("p_mfgr")).alias("p_mfgr_text"), codec.decode_category(F.col("p_category")).alias("p_category_text"), codec.decode_brand(F.col("p_brand1")).alias("p_brand1_text"))
 
     def ddate(self) -> DataFrame:
+        """All days from the first order's to the last one's: two values of the scan, which Parquet's statistics give, and no exchange of orders."""
         day = F.to_date("o_orderdate")
+        ends = self.table("orders").agg(F.min(day).alias("first"), F.max(day).alias("last"))
         return (
-            self.table("orders").select(day.alias("d")).distinct()
+            ends.filter("first is not null").select(F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 DAY"))).alias("d"))
             .select(_date_key(F.col("d")).alias("d_datekey"), F.year("d").alias("d_year"), (F.year("d") * 100 + F.month("d")).cast("int").alias("d_yearmonthnum"), F.date_format("d", "MMMyyyy").alias("d_yearmonth"), F.floor((F.dayofyear("d") - 1) / 7 + 1).cast("int").alias("d_weeknuminyear"))
         )
 
@@ -148,5 +156,5 @@ VIEWS_SQL = ",\n".join([
     """star_ddate AS (
   SELECT cast(year(d) * 10000 + month(d) * 100 + day(d) AS integer) AS d_datekey, cast(year(d) AS integer) AS d_year,
          cast(year(d) * 100 + month(d) AS integer) AS d_yearmonthnum, strftime(d, '%b%Y') AS d_yearmonth, cast((dayofyear(d) - 1) // 7 + 1 AS integer) AS d_weeknuminyear
-  FROM (SELECT DISTINCT cast(o_orderdate AS date) AS d FROM orders))""",
+  FROM (SELECT cast(unnest(generate_series(min(cast(o_orderdate AS date)), max(cast(o_orderdate AS date)), INTERVAL 1 DAY)) AS date) AS d FROM orders))""",
 ])
