@@ -14,6 +14,8 @@ def pack(bucket: np.ndarray, *columns: np.ndarray, name: str = "bucket") -> pa.R
     bounds = np.r_[at, len(bucket)]
     packed = []
     for c in columns:
+        if len(c) * c.itemsize >= 1 << 31:  # offsets of binary columns have 32 bits
+            raise ValueError("more than 2 GiB to be packed at once")
         offsets = (bounds * c.itemsize).astype(np.int32)
         packed.append(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(c[order].tobytes())]))
     return pa.RecordBatch.from_arrays([pa.array(bucket[at]), *packed], [name, *(f"c{i}" for i in range(len(columns)))])
