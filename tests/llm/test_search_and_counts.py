@@ -55,20 +55,39 @@ def test_search_odd_rows(spark):
     assert bm25.search(bm25.build_index(docs), ask.limit(0)).count() == 0
 
 
-def test_pruning_skips_blocks_and_changes_nothing():
-    rng = np.random.default_rng(0)
+@pytest.mark.parametrize("seed", range(4))
+def test_pruning_skips_postings_and_changes_nothing(seed):
+    rng = np.random.default_rng(seed)
     n = 4000
     length = rng.integers(5, 50, n)
-    terms = np.array([1, 2, 3], np.uint64)
+    terms, idf = np.array([1, 2, 3], np.uint64), np.array([0.1, 2.0, 5.0])
     posts = [np.sort(rng.choice(n, m, replace=False)) for m in (3000, 400, 40)]
     doc = np.concatenate(posts)
-    shard = [np.arange(n), length, terms, np.cumsum([0, *map(len, posts)]), doc, rng.integers(1, 4, len(doc))]
-    found, score, scored = bm25._best(terms, np.array([0.1, 2.0, 5.0]), shard, length.mean(), 5)
-    assert scored < n // bm25.BLOCK / 2
-    all_found, all_score, _ = bm25._best(terms, np.array([0.1, 2.0, 5.0]), shard, length.mean(), n)
+    shard = bm25.with_blocks(np.arange(n), length, terms, np.cumsum([0, *map(len, posts)]), doc, rng.integers(1, 4, len(doc)))
+    found, score, read = bm25._best(terms, idf, shard, length.mean(), 5)
+    assert read < len(doc) / 4
+    all_found, all_score, all_read = bm25._best(terms, idf, shard, length.mean(), n)
+    assert all_read == len(doc)
     assert found.tolist() == all_found[:5].tolist() and score.tolist() == all_score[:5].tolist()
 
 
+def test_blocks_hold_the_maxima():
+    rng = np.random.default_rng(1)
+    counts = [1, 64, 65, 200]
+    doc = np.concatenate([np.sort(rng.choice(500, m, replace=False)) for m in counts])
+    tf, length = rng.integers(1, 9, len(doc)), rng.integers(1, 99, 500)
+    start = np.cumsum([0, *counts])
+    *_, first, last, most, least = bm25.with_blocks(np.arange(500), length, np.arange(4, dtype=np.uint64), start, doc, tf)
+    at = 0
+    for t, m in enumerate(counts):
+        assert first[t] == at
+        for low in range(start[t], start[t] + m, bm25.BLOCK):
+            s = slice(low, min(low + bm25.BLOCK, start[t + 1]))
+            assert (last[at], most[at], least[at]) == (doc[s][-1], tf[s].max(), length[doc[s]].min())
+            at += 1
+    assert at == len(last)
+
+
 def test_query_asks_with_whole_documents(spark):
     from asterloom.llm import queries
 
