@@ -2,16 +2,17 @@
 
 Each half of the unit vectors has a codebook of its own; a vector's nearest
 codewords name its cell in the product grid.  A vector visits cells in order of
-the sum of its squared distances to their two codewords - the order in which a
-multi-sequence traversal meets them - for as many cells as find ``recall`` of
+the sum of its squared distances to their two codewords, by multi-sequence
+traversal, for as many cells as find ``recall`` of
 partners at the very threshold, measured on perturbed sample vectors.  In each
 visited cell cosines are verified in double precision, block by block.
 
 A pair that either side visits is a link.  Blocks give each vector's number of
 links and one edge to the root of its links' forest there, never all pairs; a
 pair that both sides visit counts where the smaller id visits.  Exact copies
-are one vector with a multiplicity.  Codebooks are fitted on at most ``SAMPLE``
-vectors; every vector is indexed.
+are one vector with a multiplicity.  Codebooks are fitted on ``SAMPLE``
+vectors or ``PER_CODEWORD`` a codeword; they grow with the root of the number of
+vectors, so a cell keeps its size.  Every vector is indexed.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing, as do vectors of different lengths with each
@@ -32,10 +33,13 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import components
 
-SAMPLE, PERTURBED = 4096, 512
+#: Vectors that codebooks are fitted on, at least, and for each codeword; and perturbed ones.
+SAMPLE, PER_CODEWORD, PERTURBED = 4096, 32, 512
 #: Vectors of a cell, and visitors, that one block compares.
 INDEX_BLOCK, VISITOR_BLOCK = 4096, 8192
 PER_CELL = 800
+#: Vectors whose traversals go together.
+STEP = 1024
 
 
 @dataclass
@@ -48,13 +52,36 @@ class Grid:
     def cells(self) -> int:
         return len(self.first) * len(self.second)
 
-    def order(self, unit: np.ndarray, n: int) -> np.ndarray:
-        """The n nearest cells of each vector, nearest first."""
-        half = self.first.shape[1]
-        d = [((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)) for x, c in ((unit[:, :half], self.first), (unit[:, half:], self.second))]
-        total = (d[0][:, :, None] + d[1][:, None, :]).reshape(len(unit), -1)
-        near = np.argpartition(total, min(n, total.shape[1]) - 1, axis=1)[:, :n]
-        return np.take_along_axis(near, np.take_along_axis(total, near, 1).argsort(1, kind="stable"), 1)
+    def nearest(self, unit: np.ndarray, n: int) -> np.ndarray:
+        """The n nearest cells of each vector, nearest first, by multi-sequence traversal of its two lists of codewords.
+
+        A cell (i, j) of ranks in the two lists enters a vector's front when (i - 1, j) and
+        (i, j - 1) have been visited, so the front has a cell a row at most and
+        the nearest cell not yet visited is in it.  All vectors take a step together.
+        """
+        n, half = min(n, self.cells), self.first.shape[1]
+        far = [((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)) for x, c in ((unit[:, :half], self.first), (unit[:, half:], self.second))]
+        rank = [d.argsort(1, kind="stable") for d in far]
+        a, b = (np.take_along_axis(d, r, 1) for d, r in zip(far, rank))
+        b = np.c_[b, np.full(len(unit), np.inf)]  # beyond the last codeword
+        rows = min(n, a.shape[1])  # the first n cells are in the first n rows
+        column = np.zeros((len(unit), rows), np.int64)  # the next cell of each row of the grid
+        cost = np.full((len(unit), rows), np.inf)
+        cost[:, 0] = a[:, 0] + b[:, 0]
+        every, out = np.arange(len(unit)), np.empty((len(unit), n), np.int64)
+        for t in range(n):
+            i = cost.argmin(1)
+            j = column[every, i]
+            out[:, t] = rank[0][every, i] * len(self.second) + rank[1][every, j]
+            column[every, i] = j + 1
+            # Its right neighbour waits for the row above; the row below waits for its left one.
+            above = np.where(i > 0, column[every, i - 1], b.shape[1])
+            cost[every, i] = np.where(j + 1 < above, a[every, i] + b[every, j + 1], np.inf)
+            has = i + 1 < rows
+            below = np.minimum(i + 1, rows - 1)
+            free = has & (column[every, below] <= j)
+            cost[every[free], below[free]] = a[every[free], below[free]] + b[every[free], column[every[free], below[free]]]
+        return out
 
 
 def _codebook(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -78,19 +105,26 @@ def _unit(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(classes: DataFrame, width: int, threshold: float, recall: float, n: int) -> Grid:
-    rows = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
+    k = max(4, int((n / PER_CELL) ** 0.5))
+    rows = classes.orderBy(F.xxhash64("rep"), "rep").limit(max(SAMPLE, PER_CODEWORD * k)).select("embedding").toArrow().column(0).combine_chunks()
     x, _ = _unit(rows, width)
     rng = np.random.default_rng(11)
-    half, k = max(1, width // 2), int(np.clip((n / PER_CELL) ** 0.5, 4, 256))
+    half = max(1, width // 2)
     grid = Grid(_codebook(x[:, :half], k, rng), _codebook(x[:, half:], k, rng), 1)
     probe = x[:PERTURBED]
     side = rng.normal(size=probe.shape) * (np.abs(probe) > 0)
     side -= (side * probe).sum(1)[:, None] * probe
     norm = np.sqrt((side * side).sum(1))[:, None]
     moved = threshold * probe + np.sqrt(1 - threshold**2) * np.divide(side, norm, out=np.zeros_like(side), where=norm > 0)
-    home = grid.order(moved, 1)[:, 0]
-    rank = (grid.order(probe, grid.cells) == home[:, None]).argmax(1)
-    grid.visits = int(np.sort(rank)[min(len(rank) - 1, int(recall * len(rank)))]) + 1
+    home = grid.nearest(moved, 1)[:, 0]
+    n = 64
+    while True:  # until enough of them have met their partner's cell
+        met = grid.nearest(probe, n) == home[:, None]
+        rank = np.sort(np.where(met.any(1), met.argmax(1), grid.cells))[min(len(probe) - 1, int(recall * len(probe)))]
+        if rank < grid.cells or n >= grid.cells:
+            break
+        n *= 4
+    grid.visits = int(min(rank, grid.cells - 1)) + 1
     return grid
 
 
@@ -112,9 +146,10 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, recall: float
     def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home, visitors = np.zeros(grid.cells, np.int64), np.zeros(grid.cells, np.int64)
         for batch in batches:
-            order = grid.order(_unit(batch.column(0), width)[0], grid.visits)
-            home += np.bincount(order[:, 0], minlength=grid.cells)
-            visitors += np.bincount(order.ravel(), minlength=grid.cells)
+            for low in range(0, batch.num_rows, STEP):
+                order = grid.nearest(_unit(batch.column(0).slice(low, STEP), width)[0], grid.visits)
+                home += np.bincount(order[:, 0], minlength=grid.cells)
+                visitors += np.bincount(order.ravel(), minlength=grid.cells)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(grid.cells)), pa.array(home), pa.array(visitors)], ["cell", "home", "visitors"])
 
     counts = classes.select("embedding").mapInArrow(census, "cell long, home long, visitors long").groupBy("cell").agg(F.sum("home").alias("home"), F.sum("visitors").alias("visitors")).collect()
@@ -125,14 +160,12 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, recall: float
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
+            for low in range(0, batch.num_rows, STEP):
+                part = batch.slice(low, STEP)
                 unit, size = _unit(part.column(0), width)
                 rep = part.column(1).to_numpy()
-                order = grid.order(unit, grid.visits)
-                seen = np.zeros((len(unit), grid.cells), bool)
-                np.put_along_axis(seen, order, True, 1)
-                bits = np.packbits(seen, axis=1)
+                order = grid.nearest(unit, grid.visits)
+                seen = np.sort(order, axis=1).astype(np.int32)  # the cells that it visits
                 at, cell, visitor, group = [], [], [], []
                 for i in range(len(unit)):
                     for j, c in enumerate(order[i]):
@@ -145,7 +178,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, recall: float
                 raw = unit.tobytes()
                 step = width * 8
                 take = pa.array(at, pa.int32())
-                vector, known = pa.array([raw[i * step : (i + 1) * step] for i in range(len(unit))], pa.binary()), pa.array([r.tobytes() for r in bits], pa.binary())
+                vector, known = pa.array([raw[i * step : (i + 1) * step] for i in range(len(unit))], pa.binary()), pa.array([r.tobytes() for r in seen], pa.binary())
                 plain = [pa.array(order[:, 0]), pa.array(size.astype(np.int64)), vector, known, part.column(1), part.column(2)]
                 yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(visitor, pa.bool_()), *(p.take(take) for p in plain)], names)
 
@@ -161,7 +194,8 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, recall: float
         y, y_rep, y_copies, _, y_size, ty = side(False)
         if not len(y):
             return pa.table({"vec": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        visits = np.unpackbits(np.frombuffer(b"".join(ty.column("visits").to_pylist()), np.uint8).reshape(len(y), -1), axis=1)[:, : grid.cells].astype(bool)
+        cells = np.frombuffer(b"".join(ty.column("visits").to_pylist()), np.int32).reshape(len(y), -1).astype(np.int64)
+        cells = (cells + np.arange(len(y))[:, None] * grid.cells).ravel()  # in order
         rep = np.unique(np.r_[x_rep, y_rep])
         px, py = np.searchsorted(rep, x_rep), np.searchsorted(rep, y_rep)
         links, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
@@ -171,7 +205,8 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, recall: float
             a, b = np.nonzero(near)
             if not len(a):
                 continue
-            once = ~visits[b, x_home[s][a]] | (x_rep[s][a] < y_rep[b])
+            asked = b * grid.cells + x_home[s][a]
+            once = (cells[np.minimum(np.searchsorted(cells, asked), len(cells) - 1)] != asked) | (x_rep[s][a] < y_rep[b])
             ia, ib = px[s][a], py[b]
             np.add.at(links, ia[once], y_copies[b][once])
             np.add.at(links, ib[once], x_copies[s][a][once])
