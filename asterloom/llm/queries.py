@@ -33,11 +33,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three edits a document: a word put in at a quarter, a stretch replaced in the middle, a stretch taken out at three quarters."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """The trees of all texts, kept, and then three edits a document: a word put in at a quarter, a stretch replaced in the middle, one taken out at three quarters."""
+    trees = written(token_counts.counted(table(spark, sf_dir, "documents")), "token-trees")
     n = F.coalesce(F.length("text"), F.lit(0))
     edit = lambda at, size, text: F.struct((n * at / 4).cast("int").alias("start"), ((n * at / 4).cast("int") + size).alias("end"), F.lit(text).alias("text"))
-    return token_counts.count_with_edits(docs.withColumn("edits", F.array(edit(1, 0, " edited"), edit(2, 12, "rewritten \n"), edit(3, 20, ""))))
+    trees = trees.withColumn("edits", F.array(edit(1, 0, " edited"), edit(2, 12, "rewritten \n"), edit(3, 20, "")))
+    return token_counts.edited(trees).select("doc_id", "n_tokens", "n_tokens_edited", "n_chars_encoded_again")
 
 
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,16 @@ the leaves holds their counts.  An edit re-encodes the leaves it touches; if it
 makes a cut at their edge unsafe, the leaf beyond joins in.  Then the sums above
 them are updated, and the root is the document's count.
 
+Trees are kept: ``counted`` encodes every text once and gives a table of texts
+with their trees (sums of characters and tokens, root first), which is
+written.  ``edited`` applies edits to rows of such a table, encodes what they
+touch only, and gives the next state of the rows with texts and trees.
+
 Edits (start, end, text) are in code points of the text as earlier edits left
 it; bounds outside the text are moved to its ends, and an end before its start
 counts as the start.  A null text is empty, null edits are none, a null
-replacement is empty.  Rows that repeat a document are counted each.
+replacement is empty.  Rows that repeat a document are counted each.  An empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -55,6 +61,18 @@ class CountedText:
         self.leaves = _cut(text)
         self._build([self._measure(x) for x in self.leaves])
 
+    @classmethod
+    def kept(cls, text: str, chars: np.ndarray, tokens: np.ndarray, count: Callable[[str], int]) -> CountedText:
+        """The text under a tree that was kept: nothing is encoded."""
+        doc = cls.__new__(cls)
+        doc.count, doc.encoded = count, 0
+        doc.tree = np.stack([chars, tokens], 1).astype(np.int64)
+        doc.width = len(doc.tree) // 2
+        sizes = doc.tree[doc.width :, 0]
+        ends = np.cumsum(sizes[: max(1, int((sizes > 0).sum()))])  # only the single leaf of an empty text is empty
+        doc.leaves = [text[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        return doc
+
     def _measure(self, leaf: str) -> tuple[int, int]:
         self.encoded += len(leaf)
         return len(leaf), self.count(leaf)
@@ -115,20 +133,52 @@ class CountedText:
         self._build([*sums[:a], *map(self._measure, fresh), *sums[b + 1 :]])
 
 
-def count_with_edits(docs: DataFrame, *, doc_id: str = "doc_id", edits: str = "edits", vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, n_tokens_edited, n_chars_encoded_again of ``docs`` (doc_id, text, edits: array of start, end, text)."""
+_TREE = "text string, chars array<long>, tokens array<long>"
+
+
+def _row(doc: CountedText | None) -> tuple[str | None, np.ndarray | None, np.ndarray | None]:
+    return (None, None, None) if doc is None else (doc.text, doc.tree[:, 0].copy(), doc.tree[:, 1].copy())
+
+
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    kinds = pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())
+    return [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+
+
+def counted(docs: DataFrame, *, doc_id: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
+    """doc_id, text, chars, tokens of ``docs`` (doc_id, text): each text with its tree, to be written; a null text has no tree."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         for batch in batches:
-            out = []
-            for text, changes in zip(batch.column(1), batch.column(2)):
-                doc = CountedText(text.as_py() or "", lambda s: len(encode(s)))
+            rows = [_row(None if text.as_py() is None else CountedText(text.as_py(), lambda s: len(encode(s)))) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(rows)], ["doc_id", "text", "chars", "tokens"])
+
+    return docs.select(doc_id, "text").mapInArrow(run, f"doc_id {kind}, {_TREE}")
+
+
+def edited(trees: DataFrame, *, edits: str = "edits", vocabulary: str | None = None) -> DataFrame:
+    """doc_id, text, chars, tokens after the edits, n_tokens, n_tokens_edited, n_chars_encoded_again of ``trees`` (as ``counted`` gives, and edits)."""
+    kind = trees.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(vocabulary)
+        for batch in batches:
+            rows, out = [], []
+            for text, chars, tokens, changes in zip(*batch.columns[1:]):
+                changes = changes.as_py() or ()
+                count = lambda s: len(encode(s))
+                if text.as_py() is None:
+                    doc = CountedText("", count)
+                else:
+                    doc = CountedText.kept(text.as_py(), chars.values.to_numpy(), tokens.values.to_numpy(), count)
                 before, encoded = doc.tokens, doc.encoded
-                for e in changes.as_py() or ():
+                for e in changes:
                     doc.edit(e["start"] or 0, e["end"] or 0, e["text"] or "")
+                rows.append(_row(doc if changes or text.as_py() is not None else None))
                 out.append((before, doc.tokens, doc.encoded - encoded))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], pa.int64()) for i in range(3))], ["doc_id", "n_tokens", "n_tokens_edited", "n_chars_encoded_again"])
+            counts = (pa.array([r[i] for r in out], pa.int64()) for i in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(rows), *counts], ["doc_id", "text", "chars", "tokens", "n_tokens", "n_tokens_edited", "n_chars_encoded_again"])
 
-    return docs.select(doc_id, "text", edits).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_tokens_edited long, n_chars_encoded_again long")
+    return trees.select("doc_id", "text", "chars", "tokens", edits).mapInArrow(run, f"doc_id {kind}, {_TREE}, n_tokens long, n_tokens_edited long, n_chars_encoded_again long")

@@ -166,8 +166,33 @@ def test_counts_query(spark):
         assert r.n_tokens_edited == len(encode(t))
 
 
+EDITS = "array<struct<start:int,end:int,text:string>>"
+
+
 def test_counts_odd_rows(spark):
-    df = spark.createDataFrame([(1, None, None), (2, "", [(5, 1, "a b")]), (3, "abc", [(None, None, None)]), (3, "abc", [])], "doc_id long, text string, edits array<struct<start:int,end:int,text:string>>")
-    got = sorted(tuple(r)[:3] for r in token_counts.count_with_edits(df).collect())
-    assert got == [(1, 0, 0), (2, 0, 2), (3, 1, 1), (3, 1, 1)]
-    assert token_counts.count_with_edits(df.limit(0)).count() == 0
+    df = spark.createDataFrame([(1, None, None), (2, "", [(5, 1, "a b")]), (3, "abc", [(None, None, None)]), (3, "abc", []), (4, None, [(0, 0, "new")]), (None, "abc", None)], f"doc_id long, text string, edits {EDITS}")
+    trees = token_counts.counted(df.drop("edits").withColumn("chars", df.doc_id))
+    assert [(r.text is None) == (r.chars is None) for r in trees.collect()] == [True] * 6
+    edits = df.select(df.doc_id.alias("id"), df.text.alias("t"), "edits")
+    joined = trees.distinct().join(edits, trees.doc_id.eqNullSafe(edits.id))
+    got = sorted(((r.doc_id or 0, r.n_tokens, r.n_tokens_edited, r.text) for r in token_counts.edited(joined).collect()), key=str)
+    assert got == [(0, 1, 1, "abc"), (1, 0, 0, None), (2, 0, 2, "a b"), (3, 1, 1, "abc"), (3, 1, 1, "abc"), (4, 0, 1, "new")]
+    assert token_counts.edited(joined.limit(0)).count() == 0 and token_counts.counted(df.limit(0)).count() == 0
+
+
+def test_kept_trees_are_edited_again_and_again(spark, tmp_path):
+    encode, rng = encoder(), random.Random(12)
+    texts = {i: "".join(rng.choices(ALPHABET, k=rng.choice([0, 3, 900, 9000]))) for i in range(12)}
+    state = token_counts.counted(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    for turn in range(3):
+        state.write.parquet(str(tmp_path / str(turn)))  # another day, the trees come from the table
+        edits = {i: [(a := rng.randint(0, len(t)), a + rng.randint(0, 9), "".join(rng.choices(ALPHABET, k=5)))] for i, t in texts.items()}
+        asked = spark.createDataFrame(list(edits.items()), f"doc_id long, edits {EDITS}")
+        after = token_counts.edited(spark.read.parquet(str(tmp_path / str(turn))).join(asked, "doc_id")).cache()
+        for r in after.collect():
+            before = texts[r.doc_id]
+            (a, b, new), = edits[r.doc_id]
+            texts[r.doc_id] = before[:a] + new + before[b:]
+            assert r.text == texts[r.doc_id] and r.n_tokens_edited == len(encode(r.text)) == r.tokens[1] and r.n_tokens == len(encode(before))
+            assert len(before) < 4000 or r.n_chars_encoded_again < len(before) / 2
+        state = after.select("doc_id", "text", "chars", "tokens")
