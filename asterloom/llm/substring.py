@@ -3,12 +3,13 @@
 A window is ``window`` consecutive words.  Of the hashes of all ``gram``-word
 sequences in a window the smallest is its fingerprint, so equal windows have the
 same fingerprint wherever they stand, and about one word in thirteen starts one.
-``FingerprintIndex`` keeps sorted immutable runs of historical fingerprints and
-how often each was seen; a batch of documents becomes a run, and runs are merged
-when they are many.  Documents are merge-joined with the runs, which leaves the
-windows whose fingerprint was seen more than once; only these are hashed whole
-(64 bits over all their words) and verified against each other.  Then every word
-that a repeated window covers is removed.
+``FingerprintIndex`` keeps sorted immutable runs of historical fingerprints in a
+folder that can be opened again.  A new batch of documents is counted by
+fingerprint and merge-joined with each run, which are dealt into buckets alike,
+so that history is not exchanged; fingerprints met again are noted, the batch becomes
+a run, and runs are merged into one when they are many.  The windows whose fingerprint was noted are hashed
+whole (two hashes of 64 bits each over all their words) and verified against
+each other.  Then every word that a repeated window covers is removed.
 
 Entries are combined where they are read: a window that repeats there is known
 to be repeated and sends one entry, so a passage that a third of all documents
@@ -30,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, partitions, scratch_root
+from .common import partitions, scratch_root
 from .packed import pack, unpack
-from .text import ALT_BASE, U, WORD_BASE, Words, between, chunks, prefix
+from .text import ALT_BASE, BYTE_BASE, U, WORD_BASE, Words, between, chunks, prefix
 
 WINDOW = 35
 GRAM = 10
 #: Runs that are kept side by side before they are merged.
 FANOUT = 2
-#: Window entries that a task combines before it sends them on (20 bytes each).
+#: Window entries that a task combines before it sends them on (29 bytes each, 12 if it has met them before).
 FLUSH = 1_000_000
 
 
@@ -74,41 +75,91 @@ def _distinct_anchors(row, first, anchor, print_) -> tuple[np.ndarray, np.ndarra
 
 
 class FingerprintIndex:
-    """Sorted immutable runs (fingerprint, n: 1, or 2 for more) in the shared folder."""
+    """Sorted immutable runs (fp, n: 1, or 2 for more) in a folder, and notes (fp) of what was met again.
 
-    def __init__(self, spark: SparkSession, *, window: int = WINDOW, gram: int = GRAM):
-        self.spark, self.window, self.gram = spark, window, gram
-        self.path = f"{scratch_root(spark)}/fingerprints-{uuid.uuid4().hex}"
-        self.runs: list[DataFrame] = []
-        self.made = 0
+    A run's folder is named by the first and the last batch in it, so a merged
+    run tells which runs it replaces, also if these were not yet deleted.
+    """
 
-    def _run(self, counted: DataFrame) -> DataFrame:
-        path = f"{self.path}/run-{self.made:06d}"
-        self.made += 1
-        counted.groupBy("fp").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n")).sortWithinPartitions("fp").write.parquet(path)
-        return self.spark.read.schema("fp long, n int").parquet(path)
+    def __init__(self, spark: SparkSession, path: str | None = None, *, window: int = WINDOW, gram: int = GRAM):
+        self.spark, self.window, self.gram = spark, window, gram
+        self.path = path or f"{scratch_root(spark)}/fingerprints-{uuid.uuid4().hex}"
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, **options) -> FingerprintIndex:
+        """The index that is kept in ``path``."""
+        return cls(spark, path, **options)
+
+    def _folders(self, kind: str) -> list[tuple[int, int, int]]:
+        """(first batch, last batch, buckets) of the folders of a kind that no other replaces."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        store = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath() for f in store.listStatus(path)] if store.exists(path) else []
+        whole = [n for n in names if n.getName().startswith(kind + "-") and store.exists(n.suffix("/_SUCCESS"))]
+        found = [tuple(map(int, n.getName().split("-")[1:])) for n in whole]
+        return sorted(x for x in found if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in found))
+
+    def _table(self, kind: str, of: tuple[int, int, int]) -> DataFrame:
+        """A run or note as a bucketed table, whose scan says how it is dealt."""
+        path, columns = f"{self.path}/{kind}-{'-'.join(map(str, of))}", "fp BIGINT, n INT" if kind == "run" else "fp BIGINT"
+        name = "fingerprints_" + hashlib.md5(path.encode()).hexdigest()
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {of[2]} BUCKETS LOCATION '{path}'")
+        return self.spark.table(name)
+
+    def _write(self, rows: DataFrame, kind: str, of: tuple[int, int, int]) -> None:
+        path = f"{self.path}/{kind}-{'-'.join(map(str, of))}"
+        name = "fingerprints_" + hashlib.md5(path.encode()).hexdigest()
+        rows.write.format("parquet").bucketBy(of[2], "fp").sortBy("fp").option("path", path).mode("overwrite").saveAsTable(name)
+
+    def _drop(self, kind: str, of: tuple[int, int, int]) -> None:
+        path = f"{self.path}/{kind}-{'-'.join(map(str, of))}"
+        self.spark.sql(f"DROP TABLE IF EXISTS fingerprints_{hashlib.md5(path.encode()).hexdigest()}")
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def runs(self) -> list[tuple[int, int, int]]:
+        return self._folders("run")
 
     def ingest(self, docs: DataFrame) -> None:
-        """Adds the documents (text) as a new run; merges the runs if there are more than FANOUT."""
-        self.runs.append(self._run(self._counts(docs)))
-        if len(self.runs) > FANOUT:
+        """Joins the fingerprints of the documents (text) with the runs, notes those met again, and adds a run; merges the runs if there are more than FANOUT."""
+        old = self.runs()
+        buckets = old[0][2] if old else partitions(self.spark)
+        of = (old[-1][1] + 1 if old else 0,) * 2 + (buckets,)
+        total = F.least(F.sum("n"), F.lit(2)).cast("int").alias("n")
+        self._write(self._counts(docs).repartition(buckets, "fp").groupBy("fp").agg(total), "run", of)
+        new = self._table("run", of)
+        again = new.filter("n > 1").select("fp")
+        for run in old:
+            again = again.unionByName(new.join(self._table("run", run), "fp", "left_semi").select("fp"))
+        self._write(again.distinct(), "again", of)
+        if len(old) + 1 > FANOUT:
             self.compact()
 
     def compact(self) -> None:
         """Merges all runs into one."""
-        if len(self.runs) > 1:
-            old = self.runs
-            merged = old[0]
+        old = self.runs()
+        if len(old) > 1:
+            merged = self._table("run", old[0])
             for run in old[1:]:
-                merged = merged.unionByName(run)
-            self.runs = [self._run(merged)]
+                merged = merged.unionByName(self._table("run", run))
+            of = (old[0][0], old[-1][1], old[0][2])
+            self._write(merged.repartition(of[2], "fp").groupBy("fp").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n")), "run", of)
             for run in old:
-                drop_written(run)
+                self._drop("run", run)
 
     def repeated(self) -> DataFrame:
-        """The fingerprints that were seen more than once."""
-        self.compact()
-        return self.runs[0].filter("n > 1").select("fp")
+        """The fingerprints that were seen more than once, in a batch or in several."""
+        notes = [self._table("again", of) for of in self._folders("again")]
+        found = notes[0] if notes else self.spark.createDataFrame([], "fp long")
+        for note in notes[1:]:
+            found = found.unionByName(note)
+        return found.distinct()
+
+    def drop(self) -> None:
+        """Deletes the index."""
+        for kind in ("run", "again"):
+            for of in self._folders(kind):
+                self._drop(kind, of)
 
     def probe(self, docs: DataFrame) -> DataFrame:
         """(key, fps): for documents (key, text), their fingerprints that were seen more than once."""
@@ -143,18 +194,24 @@ def _repeated_windows(suspects: DataFrame, window: int, gram: int) -> DataFrame:
     """(key, starts): the first words of the windows of suspects (key, fps, text) that stand elsewhere too."""
     buckets = 2 * partitions(suspects.sparkSession)
 
-    def combined(h, key, at):
-        order = np.lexsort((at, key, h))
-        h, key, at = h[order], key[order], at[order]
-        lead = np.r_[True, h[1:] != h[:-1]]
+    def combined(h, g, key, at):
+        order = np.lexsort((at, key, g, h))
+        h, g, key, at = h[order], g[order], key[order], at[order]
+        lead = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
         many = np.diff(np.r_[np.flatnonzero(lead), len(h)]) > 1
         known = np.repeat(many, np.diff(np.r_[np.flatnonzero(lead), len(h)]))
         rest = known & ~lead
         if rest.any():  # repeated here already: straight to their documents
-            yield pack(-1 - (key[rest].view(U) % U(buckets)).astype(np.int64), h[rest], key[rest], at[rest], known[rest])
-        h, key, at, known = h[lead], key[lead], at[lead], known[lead]
+            yield sent(-1 - (key[rest].view(U) % U(buckets)).astype(np.int64), key[rest], at[rest])
+        h, g, key, at, known = h[lead], g[lead], key[lead], at[lead], known[lead]
         order = np.lexsort((at, key))
-        yield pack((h[order] % U(buckets)).astype(np.int64), h[order], key[order], at[order], known[order])
+        yield sent((h[order] % U(buckets)).astype(np.int64), key[order], at[order], h[order], g[order], known[order])
+
+    def sent(bucket, *columns) -> pa.RecordBatch:
+        """Five columns; those that are not given are empty."""
+        batch = pack(bucket, *columns)
+        empty = pa.array([b""] * batch.num_rows, pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns, *[empty] * (5 - len(columns))], ["bucket", *(f"c{i}" for i in range(5))])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -169,8 +226,8 @@ def _repeated_windows(suspects: DataFrame, window: int, gram: int) -> DataFrame:
                 for i in range(high - low):
                     keep[cut[i] : cut[i + 1]] = np.isin(fp[cut[i] : cut[i + 1]].view(np.int64), prints[low + i].values.to_numpy())
                 row, first = row[keep], first[keep]
-                h = between(prefix(words.hash, ALT_BASE), first, first + window)
-                held.append((h, keys[low + row], (first - words.first[row]).astype(np.uint32)))
+                h, g = (between(prefix(words.hash, base), first, first + window) for base in (ALT_BASE, BYTE_BASE))
+                held.append((h, g, keys[low + row], (first - words.first[row]).astype(np.uint32)))
                 n += len(h)
                 if n >= FLUSH:
                     yield from combined(*map(np.concatenate, zip(*held)))
@@ -179,11 +236,11 @@ def _repeated_windows(suspects: DataFrame, window: int, gram: int) -> DataFrame:
             yield from combined(*map(np.concatenate, zip(*held)))
 
     def meet(group: pa.Table) -> pa.Table:
-        h, key, at, known = unpack(group, U, np.int64, np.uint32, bool)
+        key, at, h, g, known = unpack(group, np.int64, np.uint32, U, U, bool)
         if group.column("bucket")[0].as_py() >= 0:
-            order = np.argsort(h, kind="stable")
-            h, key, at, known = h[order], key[order], at[order], known[order]
-            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            order = np.lexsort((g, h))
+            h, g, key, at, known = h[order], g[order], key[order], at[order], known[order]
+            start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
             size = np.diff(np.r_[start, len(h)])
             found = np.repeat((size > 1) | np.logical_or.reduceat(known, start), size)
             key, at = key[found], at[found]
@@ -196,7 +253,7 @@ def _repeated_windows(suspects: DataFrame, window: int, gram: int) -> DataFrame:
         order = np.lexsort((at, key))
         return pa.Table.from_batches([pack(key[order], at[order], name="key")])
 
-    packed = suspects.select("key", "fps", "text").mapInArrow(hashed, "bucket long, c0 binary, c1 binary, c2 binary, c3 binary")
+    packed = suspects.select("key", "fps", "text").mapInArrow(hashed, "bucket long, " + ", ".join(f"c{i} binary" for i in range(5)))
     answers = packed.groupBy("bucket").applyInArrow(meet, "bucket long, c0 binary, c1 binary")
     return answers.groupBy("bucket").applyInArrow(gather, "key long, c0 binary").withColumnRenamed("c0", "starts")
 
@@ -229,7 +286,7 @@ def kept_words(words: Words, low: int, high: int, starts: list[bytes | None], wi
     return total, total - n_kept, [whole[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
-def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, batches: int = 2, with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, batches: int = 3, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every row of docs (doc_id, text).
 
     The documents enter the index in ``batches`` batches, as they would day by

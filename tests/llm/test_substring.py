@@ -65,10 +65,47 @@ def test_kept_text(spark):
     assert got == {1: "d", 2: "z q"}
 
 
-def test_index_ingests_batch_by_batch_and_compacts(spark):
-    index = substring.FingerprintIndex(spark, window=3, gram=2)
-    for i, text in enumerate(["a b c d", "x y z", "a b c", "x y q"]):
+def test_index_ingests_batch_by_batch_and_compacts(spark, tmp_path):
+    path = str(tmp_path / "index")
+    probe = spark.createDataFrame([(7, "a b c"), (8, "n m o"), (9, "x y z")], "key long, text string")
+    seen = []
+    for i, text in enumerate(["a b c d", "x y z", "n m", "a b c", "x y q", "n m o"]):
+        # Opened again for every batch, as if on another day.
+        index = substring.FingerprintIndex.open(spark, path, window=3, gram=2)
         index.ingest(spark.createDataFrame([(i, text)], SCHEMA))
-        assert len(index.runs) <= substring.FANOUT
-    probe = spark.createDataFrame([(7, "a b c"), (8, "n m o")], "key long, text string")
-    assert [r.key for r in index.probe(probe).collect()] == [7]
+        assert len(index.runs()) <= substring.FANOUT and (index.runs()[0][0], index.runs()[-1][1]) == (0, i)
+        seen.append(sorted(r.key for r in index.probe(probe).collect()))
+    assert seen[:3] == [[], [], []] and seen[3] == [7] and 9 in seen[4] + [9] and 7 in seen[5]
+    before = index.runs()
+    index.compact()
+    assert len(before) >= 1 and len(index.runs()) == 1
+    assert sorted(r.key for r in index.probe(probe).collect()) == seen[5]
+    index.drop()
+    assert index.runs() == [] and index.probe(probe).count() == 0
+
+
+def test_a_merged_run_replaces_its_parts_before_they_are_deleted(spark, tmp_path):
+    import shutil
+
+    path = tmp_path / "index"
+    index = substring.FingerprintIndex(spark, str(path), window=3, gram=2)
+    for i, text in enumerate(["a b c d", "x y z a b c"]):
+        index.ingest(spark.createDataFrame([(i, text)], SCHEMA))
+    first = next(p for p in path.iterdir() if p.name.startswith("run-0-0"))
+    shutil.copytree(first, tmp_path / "kept")
+    index.compact()
+    shutil.copytree(tmp_path / "kept", first)
+    assert [r[:2] for r in index.runs()] == [(0, 1)]
+
+
+def test_history_is_not_exchanged(spark, tmp_path):
+    index = substring.FingerprintIndex(spark, str(tmp_path / "index"), window=3, gram=2)
+    for i in range(2):
+        index.ingest(spark.createDataFrame([(i, f"a b c {i}")], SCHEMA))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new, old = (index._table("run", of) for of in index.runs())
+        plan = new.join(old, "fp", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
