@@ -58,7 +58,7 @@ from .text import U, Words, chunks, lowered, mix, shingles
 #: Groups up to this number of sets give all pairs; it only moves work between the two rounds.
 SMALL = 8
 #: Entries that a task combines before it sends them on (16 bytes each).
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: Shingles of the corpus for one bucket, so that a bucket fits into a task whatever the corpus' size.
 PER_BUCKET = 2_000_000
 SKETCH_WORDS = 16

@@ -45,7 +45,7 @@ LEAST_ASSIGNED = 8
 
 OUTSIDE, BEGIN, INSIDE = range(3)
 #: Stretches of each kind that the field is trained on, those of one document, the words on each side of a match, and the longest stretch in bytes.
-STRETCHES, PER_TEXT, AROUND, LONGEST = 1500, 4, 12, 4096
+STRETCHES, PER_TEXT, AROUND, LONGEST = 1000, 4, 12, 4096
 #: What keys that no pattern matches are made of, and what stands before and after them.
 ALPHABETS = ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEF", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/")
 SETTINGS = (("", ""), ("", ""), ('"', '"'), ("'", "',"), ("key=", ""), ("auth:", ""), ('"cred":"', '",'), ("<", ">"), ("", "."), ("sig=", ";"))
@@ -239,6 +239,10 @@ def _masked(words: list[bytes], tags: list[int], rng: random.Random) -> Iterator
     """The stretch with a key that no pattern matches, and with decoys."""
     outside = [w for w, t in zip(words, tags) if t == OUTSIDE] or [b"a"]
     decoyed = [_decoy(rng, outside) if t == OUTSIDE and rng.random() < 0.2 else w for w, t in zip(words, tags)]
+    if rng.random() < 0.3:  # a line of one short word
+        again = rng.choice([min((rng.choice(outside) for _ in range(4)), key=len), "óéßñ"[rng.randint(0, 3)].encode(), rng.choice("=-|.*:x0").encode()])
+        low = rng.randint(0, len(words) - 1)
+        decoyed = [again if t == OUTSIDE and low <= i < low + 12 else w for i, (w, t) in enumerate(zip(decoyed, tags))]
     yield decoyed, tags
     base = decoyed if rng.random() < 0.5 else words
     begin = [i for i, t in enumerate(tags) if t == BEGIN]

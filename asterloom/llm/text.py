@@ -21,8 +21,8 @@ U = np.uint64
 #: Odd multipliers of the polynomial hashes; any odd values would do.
 BYTE_BASE, WORD_BASE, ALT_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-#: Bytes of text that are hashed together.
-CHUNK_BYTES = 1 << 21
+#: Bytes of text that are hashed together; a little less than a power of two, so that tables of powers stay small.
+CHUNK_BYTES = (1 << 20) - 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -85,6 +85,52 @@ def test_the_field_learns_and_finds_what_patterns_miss(spark):
     assert found(0) >= 18 and found(100) == 0 and found(200) >= 8
 
 
+def planted(rng):
+    """Keys that no pattern matches, of forms that the training does not make, and long words that are none."""
+    import string
+
+    key = lambda n, of=string.ascii_letters + string.digits: "".join(rng.choices(of, k=n))
+    keys = {
+        "ghp": lambda: "ghp_" + key(36), "base64": lambda: key(43, string.ascii_letters + string.digits + "+/") + "=", "upper hex": lambda: key(40, "0123456789ABCDEF"),
+        "two parts": lambda: f"xoxb-{key(12, string.digits)}-{key(24)}", "named": lambda: f"pwd:{key(28)}", "plain": lambda: key(40),
+    }
+    junk = ["ciónasasado " * 30, "=" * 60, "https://example.com/some/long/path/to/page.html", "mail.34@mail7.example.com", "233.254.104.120", "9807915762804490", "Donaudampfschifffahrtsgesellschaft", "2024-05-01T10:22:33Z", "ó " * 40, "thing$$$ other### %%%"]
+    return keys, junk
+
+
+def test_planted_secrets_are_found_and_junk_is_not(spark):
+    import random
+
+    rng = random.Random(41)
+    keys, junk = planted(rng)
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    field = secrets.fit(docs)
+    base = [r.text.split(" ") for r in docs.filter("n_chars between 200 and 2000").limit(60).collect()]
+    rows, what = [], {}
+    for kind, make in keys.items():
+        for _ in range(25):
+            w, k = list(rng.choice(base)), make()
+            w.insert(rng.randrange(len(w)), k)
+            what[len(rows)] = (kind, " ".join(w), k)
+            rows.append((len(rows), " ".join(w)))
+    first = len(rows)
+    rows += [(first + i, " ".join([*rng.choice(base)[:40], j])) for i, j in enumerate(junk)]
+    got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), field=field).collect()}
+    hit = dict.fromkeys(keys, 0)
+    for i, (kind, text, k) in what.items():
+        at = text.index(k)
+        spans = [tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(",") if s.startswith("field")]
+        hit[kind] += any(a < at + len(k) and at < b for a, b in spans)
+    assert min(hit.values()) >= 18 and sum(hit.values()) >= 0.85 * len(what)
+    assert [junk[i] for i in range(len(junk)) if got[first + i].n_field] == []
+
+
+def test_nothing_false_on_the_tables(spark):
+    # The tables' secrets are all matched by patterns, so every span of the field would be false.
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    assert secrets.find_secrets(docs).agg({"n_field": "sum"}).first()[0] <= 2
+
+
 def test_redaction_keeps_the_rest(spark):
     df = spark.createDataFrame([(1, "é password=abcdefgh1 end"), (2, None), (3, "plain")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secrets.find_secrets(df, redact="<x>").collect()}

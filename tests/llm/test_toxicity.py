@@ -71,3 +71,34 @@ def test_real_documents_are_better_than_chance(spark):
     rows = [r for r in table(spark, d, "labels").collect()]
     toxic, clean = ([got[r.doc_id] for r in rows if r.toxic == k] for k in (1, 0))
     assert sum(toxic) / len(toxic) > 2 * sum(clean) / len(clean)
+
+
+def test_scores_against_plain_compression(spark, learned):
+    """Lengths, cells, features and score again, from one compressor call a window."""
+    import math
+
+    import zstandard as zs
+
+    docs, labels, d, l, model = learned
+    params = dict(window_log=17, hash_log=16, chain_log=17, search_log=5, min_match=3, target_length=32, strategy=zs.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def length(data, dictionary):
+        return len(zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(dictionary), compression_params=zs.ZstdCompressionParameters(**params)).compress(data))
+
+    def plain(text):
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).split()
+        found = []
+        for i in range(0, len(w), 3):
+            data = (" " + " ".join(w[i : i + 3]) + " ").encode()
+            a, b = length(data, model.ordinary), length(data, model.toxic)
+            over = max(0, max(a, b) - 47)
+            found.append(model.log_odds[max(a - over, 0) * 48 + max(b - over, 0)])
+        total = sum(max(x - toxicity.NOISE, 0) for x in found)
+        f = [max([0, *found]), total / math.sqrt(len(found)), math.log1p(total)] if found else [0, 0, 0]
+        z = model.weights[0] + sum(w * (x - c) / s for w, x, c, s in zip(model.weights[1:], f, model.centre, model.scale))
+        return 1 / (1 + math.exp(-z))
+
+    some = docs[:25]
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(d, l, model).collect()}
+    assert all(abs(got[i] - plain(t)) < 1e-9 for i, t, _ in some)
+    assert len({round(got[i], 6) for i, *_ in some}) > 3
