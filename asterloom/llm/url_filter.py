@@ -42,7 +42,8 @@ def _digest(host: Column, path: Column) -> Column:
 
 def rules_table(spark, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """(verdict, text) pairs such as ("block", "com/en/") as the rules' table."""
-    rows = spark.createDataFrame([(v, t) for v, t in rules] or [("", "")], "verdict string, rule string").filter("rule != ''")
+    literals = [F.struct(F.lit(v).alias("verdict"), F.lit(t).alias("rule")) for v, t in rules or [("", "")]]
+    rows = spark.range(1).select(F.inline(F.array(*literals))).filter("rule != ''")
     at = F.instr("rule", "/")
     rows = rows.withColumn("r_host", ascii_lower(F.expr(f"substring(rule, 1, instr(rule, '/') - 1)"))).withColumn("r_path", F.col("rule").substr(at, F.length("rule")))
     return rows.withColumn("digest", _digest(F.col("r_host"), F.col("r_path")))
@@ -59,13 +60,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", keep: Se
     # One row a distinct address, before anything is expanded: the aggregate combines hot addresses where they are read.
     addresses = urls.select("host", "path").filter("host != ''").distinct()
     labels = F.split("host", r"\.", -1)
-    tries = [
-        F.when((F.size(labels) >= n) & (F.length("path") >= c), F.struct(F.array_join(F.slice(labels, -n, n), ".").alias("h"), F.substring("path", 1, c).alias("p")))
-        for n, c in shapes
-    ]
-    if not tries:
+    if not shapes:
         return urls.select(*keep, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    each = addresses.select("host", "path", F.explode(F.filter(F.array(*tries), lambda x: x.isNotNull())).alias("e"))
+    # One expression over a literal of all shapes, however many they are.
+    every = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(c).alias("c")) for n, c in shapes))
+    fits = F.filter(every, lambda s: (F.size(labels) >= s["n"]) & (F.length("path") >= s["c"]))
+    tries = F.transform(fits, lambda s: F.struct(F.array_join(F.slice(labels, -s["n"], s["n"]), ".").alias("h"), F.substring(F.col("path"), F.lit(1), s["c"]).alias("p")))
+    each = addresses.select("host", "path", F.explode(tries).alias("e"))
     each = each.select("host", "path", _digest(F.col("e.h"), F.col("e.p")).alias("full"))
     each = each.withColumn("short", F.substring("full", 1, PREFIX_HEX))
     found = each.join(small(rules.withColumn("short", F.substring("digest", 1, PREFIX_HEX))), "short").filter("full = digest")
