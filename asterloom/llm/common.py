@@ -29,21 +29,50 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Tables written in the scopes that are open, innermost last: (table, folder).
+_SCOPES: list[list[tuple[DataFrame, str]]] = []
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: it cuts the lineage and outlives any executor."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._folder = path
+    if _SCOPES:
+        _SCOPES[-1].append((table, path))
+    return table
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_written(df: DataFrame) -> None:
     """Deletes the files of a table made by ``written``."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._folder)
+
+
+class Scope:
+    """Within it, tables made by ``written`` last until its end; those that are kept last on, for a result that reads them."""
+
+    def __enter__(self) -> Scope:
+        self.kept: list[DataFrame] = []
+        _SCOPES.append([])
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df)
+        return df
+
+    def __exit__(self, *_) -> None:
+        for table, folder in _SCOPES.pop():
+            if not any(table is k for k in self.kept):
+                _delete(table.sparkSession, folder)
+            elif _SCOPES:
+                _SCOPES[-1].append((table, folder))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scope, written
 from .components import components
 
 #: Vectors that codebooks are fitted on, at least, and for each codeword; and perturbed ones.
@@ -224,10 +224,12 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, recall: float
         return pa.table({"vec": rep[touched], "links": links[touched], "root": rep[label[touched]]})
 
     rows = classes.select("embedding", "rep", "copies").mapInArrow(dealt, "g long, visitor boolean, home long, size long, vector binary, visits binary, rep long, copies long")
-    found = written(rows.groupBy("g").applyInArrow(compare, "vec long, links long, root long"), "vector-links")
-    counted = found.groupBy("vec").agg(F.sum("links").alias("links"))
-    grouped = components(found.select(F.col("vec").alias("a"), F.col("root").alias("b")))
-    labels = classes.join(counted.withColumnRenamed("vec", "rep"), "rep", "left").join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
-    labels = labels.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    with Scope() as scope:
+        found = written(rows.groupBy("g").applyInArrow(compare, "vec long, links long, root long"), "vector-links")
+        counted = found.groupBy("vec").agg(F.sum("links").alias("links"))
+        grouped = components(found.select(F.col("vec").alias("a"), F.col("root").alias("b")))
+        labels = classes.join(counted.withColumnRenamed("vec", "rep"), "rep", "left").join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
+        labels = labels.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        labels = scope.keep(written(labels, "vector-labels"))
     done = vectors.join(labels, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return done.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scope, written
 from .text import Words, chunks, mix
 
 #: The patterns' kinds in the order asked for, and what a match needs.
@@ -255,6 +255,17 @@ def _masked(words: list[bytes], tags: list[int], rng: random.Random) -> Iterator
     yield [*base[:at], _key(rng), *base[to:]], [*tags[:at], BEGIN, *tags[to:]]
 
 
+def _drawn(found: DataFrame) -> list:
+    """At most STRETCHES stretches of each kind, by the order of their hashes."""
+    rows = []
+    for r in found.groupBy("kind").count().orderBy(F.desc("kind")).collect():  # two rows
+        # About twice as many as are wanted pass a bound on the hash, whatever the number of partitions; the least of them are taken.
+        bound = min(1.0, (2 * STRETCHES + 200) / r["count"])
+        few = found.filter((F.col("kind") == r.kind) & (F.pmod("h", F.lit(1 << 40)) < int(bound * (1 << 40))))
+        rows += few.orderBy(F.pmod("h", F.lit(1 << 40)), "part").limit(STRETCHES).collect()
+    return rows
+
+
 def fit(docs: DataFrame) -> Field | None:
     """Trains on stretches of ``docs`` (text), drawn by a hash over all rows."""
 
@@ -283,13 +294,8 @@ def fit(docs: DataFrame) -> Field | None:
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], ["kind", "file", "part"])
 
     found = docs.select("text").mapInArrow(run, "kind int, file int, part binary").withColumn("h", F.xxhash64("part"))
-    found = written(found, "secret-stretches")
-    rows = []
-    for r in found.groupBy("kind").count().orderBy(F.desc("kind")).collect():  # two rows
-        # About twice as many as are wanted pass a bound on the hash, whatever the number of partitions; the least of them are taken.
-        bound = min(1.0, (2 * STRETCHES + 200) / r["count"])
-        few = found.filter((F.col("kind") == r.kind) & (F.pmod("h", F.lit(1 << 40)) < int(bound * (1 << 40))))
-        rows += few.orderBy(F.pmod("h", F.lit(1 << 40)), "part").limit(STRETCHES).collect()
+    with Scope():
+        rows = _drawn(written(found, "secret-stretches"))
     if not any(r.kind for r in rows):
         return None
     sequences, seen, rng = [], set(), random.Random(29)

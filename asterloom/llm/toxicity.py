@@ -30,7 +30,7 @@ import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import Scope, ascii_lower, written
 from .text import WORD_BASE, Words, between, chunks, lowered, prefix
 
 WINDOW = 3
@@ -167,7 +167,11 @@ def _ordinary_windows(sample: DataFrame) -> list[bytes]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = _sample(docs, labels)
+    with Scope():
+        return _fitted(_sample(docs, labels))
+
+
+def _fitted(sample: DataFrame) -> Model:
     count = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = count.get(1, 0), count.get(0, 0)
     if not n1 or not n0:
