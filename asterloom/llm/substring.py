@@ -8,8 +8,10 @@ folder that can be opened again.  A new batch of documents is counted by
 fingerprint and merge-joined with each run, which are dealt into buckets alike,
 so that history is not exchanged; fingerprints met again are noted, the batch becomes
 a run, and runs are merged into one when they are many.  The windows whose fingerprint was noted are hashed
-whole (two hashes of 64 bits each over all their words) and verified against
-each other.  Then every word that a repeated window covers is removed.
+whole (64 bits over all their words, by another base than the fingerprint's) and
+verified against each other.  Then every word that a repeated window covers is
+removed.  Two hashes of 64 bits hold a third more on disk than the check's budget
+allows; with one, of n suspect windows about n * n / 2**65 pairs meet by chance.
 
 Entries are combined where they are read: a window that repeats there is known
 to be repeated and sends one entry, so a passage that a third of all documents
@@ -33,13 +35,13 @@ from pyspark.sql import functions as F
 
 from .common import partitions, scratch_root
 from .packed import pack, unpack
-from .text import ALT_BASE, BYTE_BASE, U, WORD_BASE, Words, between, chunks, prefix
+from .text import ALT_BASE, U, WORD_BASE, Words, between, chunks, prefix
 
 WINDOW = 35
 GRAM = 10
 #: Runs that are kept side by side before they are merged.
 FANOUT = 2
-#: Window entries that a task combines before it sends them on (29 bytes each, 12 if it has met them before).
+#: Window entries that a task combines before it sends them on (21 bytes each, 12 if it has met them before).
 FLUSH = 1_000_000
 
 
@@ -194,24 +196,24 @@ def _repeated_windows(suspects: DataFrame, window: int, gram: int) -> DataFrame:
     """(key, starts): the first words of the windows of suspects (key, fps, text) that stand elsewhere too."""
     buckets = 2 * partitions(suspects.sparkSession)
 
-    def combined(h, g, key, at):
-        order = np.lexsort((at, key, g, h))
-        h, g, key, at = h[order], g[order], key[order], at[order]
-        lead = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
+    def combined(h, key, at):
+        order = np.lexsort((at, key, h))
+        h, key, at = h[order], key[order], at[order]
+        lead = np.r_[True, h[1:] != h[:-1]]
         many = np.diff(np.r_[np.flatnonzero(lead), len(h)]) > 1
         known = np.repeat(many, np.diff(np.r_[np.flatnonzero(lead), len(h)]))
         rest = known & ~lead
         if rest.any():  # repeated here already: straight to their documents
             yield sent(-1 - (key[rest].view(U) % U(buckets)).astype(np.int64), key[rest], at[rest])
-        h, g, key, at, known = h[lead], g[lead], key[lead], at[lead], known[lead]
+        h, key, at, known = h[lead], key[lead], at[lead], known[lead]
         order = np.lexsort((at, key))
-        yield sent((h[order] % U(buckets)).astype(np.int64), key[order], at[order], h[order], g[order], known[order])
+        yield sent((h[order] % U(buckets)).astype(np.int64), key[order], at[order], h[order], known[order])
 
     def sent(bucket, *columns) -> pa.RecordBatch:
-        """Five columns; those that are not given are empty."""
+        """Four columns; those that are not given are empty."""
         batch = pack(bucket, *columns)
         empty = pa.array([b""] * batch.num_rows, pa.binary())
-        return pa.RecordBatch.from_arrays([*batch.columns, *[empty] * (5 - len(columns))], ["bucket", *(f"c{i}" for i in range(5))])
+        return pa.RecordBatch.from_arrays([*batch.columns, *[empty] * (4 - len(columns))], ["bucket", *(f"c{i}" for i in range(4))])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -226,8 +228,8 @@ def _repeated_windows(suspects: DataFrame, window: int, gram: int) -> DataFrame:
                 for i in range(high - low):
                     keep[cut[i] : cut[i + 1]] = np.isin(fp[cut[i] : cut[i + 1]].view(np.int64), prints[low + i].values.to_numpy())
                 row, first = row[keep], first[keep]
-                h, g = (between(prefix(words.hash, base), first, first + window) for base in (ALT_BASE, BYTE_BASE))
-                held.append((h, g, keys[low + row], (first - words.first[row]).astype(np.uint32)))
+                h = between(prefix(words.hash, ALT_BASE), first, first + window)
+                held.append((h, keys[low + row], (first - words.first[row]).astype(np.uint32)))
                 n += len(h)
                 if n >= FLUSH:
                     yield from combined(*map(np.concatenate, zip(*held)))
@@ -236,11 +238,11 @@ def _repeated_windows(suspects: DataFrame, window: int, gram: int) -> DataFrame:
             yield from combined(*map(np.concatenate, zip(*held)))
 
     def meet(group: pa.Table) -> pa.Table:
-        key, at, h, g, known = unpack(group, np.int64, np.uint32, U, U, bool)
+        key, at, h, known = unpack(group, np.int64, np.uint32, U, bool)
         if group.column("bucket")[0].as_py() >= 0:
-            order = np.lexsort((g, h))
-            h, g, key, at, known = h[order], g[order], key[order], at[order], known[order]
-            start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+            order = np.argsort(h, kind="stable")
+            h, key, at, known = h[order], key[order], at[order], known[order]
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             size = np.diff(np.r_[start, len(h)])
             found = np.repeat((size > 1) | np.logical_or.reduceat(known, start), size)
             key, at = key[found], at[found]
@@ -253,7 +255,7 @@ def _repeated_windows(suspects: DataFrame, window: int, gram: int) -> DataFrame:
         order = np.lexsort((at, key))
         return pa.Table.from_batches([pack(key[order], at[order], name="key")])
 
-    packed = suspects.select("key", "fps", "text").mapInArrow(hashed, "bucket long, " + ", ".join(f"c{i} binary" for i in range(5)))
+    packed = suspects.select("key", "fps", "text").mapInArrow(hashed, "bucket long, " + ", ".join(f"c{i} binary" for i in range(4)))
     answers = packed.groupBy("bucket").applyInArrow(meet, "bucket long, c0 binary, c1 binary")
     return answers.groupBy("bucket").applyInArrow(gather, "key long, c0 binary").withColumnRenamed("c0", "starts")
 
