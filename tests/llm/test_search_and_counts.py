@@ -121,6 +121,57 @@ def test_long_queries_in_blocks_and_ties_by_id(spark, monkeypatch):
         assert [x[1] for x in found[:4]] == [i, i + 60, i + 120, i + 180]
 
 
+def test_shards_hand_on_their_best(spark, monkeypatch):
+    kept, plain = {}, bm25.written
+
+    def written(df, what):
+        kept[what] = table = plain(df, what)
+        kept[what + " rows"] = table.count()
+        return table
+
+    monkeypatch.setattr(bm25, "written", written)
+    rng = random.Random(4)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 500}" for _ in range(rng.choice([3, 40])))) for i in range(200)]
+    index = bm25.build_index(spark.createDataFrame(docs, "doc_id long, text string").repartition(12))
+    assert index.count() >= 10
+    got = bm25.search(index, spark.createDataFrame(docs[:30], "item_id long, text string"), k=4).collect()
+    # With 8 partitions two tasks read the shards, one after the other: each gives the best of all of its shards, not of each.
+    assert len(got) <= kept["bm25-best rows"] <= 30 * 4 * 2
+    for i in range(30):
+        found = [r.score for r in sorted((r for r in got if r.item_id == i), key=lambda r: r.rank)]
+        assert found == pytest.approx([s for _, s in plain_search(docs, docs[i][1], 4)])
+
+
+def test_kinds_of_text_become_shards_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "KIND_DOCS", 20)
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"{'abc'[i % 3]}{int(rng.paretovariate(0.6)) % 200}" for _ in range(rng.randint(9, 60))) + " all" * (i % 2)) for i in range(300)]
+    counts = [len(set(t.split())) for _, t in docs]
+    terms, term = np.unique([w for _, t in docs for w in sorted(set(t.split()))], return_inverse=True)
+    doc = np.repeat(np.arange(300), counts)
+    order = np.argsort(term, kind="stable")
+    kind = bm25._kinds(300, np.r_[0, np.cumsum(np.bincount(term))], doc[order])
+    assert len(set(kind)) >= 3 and all(len({i % 3 for i in np.flatnonzero(kind == x)}) == 1 for x in set(kind))
+    assert len(terms) > 300 / 3 and kind.tolist() == bm25._kinds(300, np.r_[0, np.cumsum(np.bincount(term))], doc[order]).tolist()
+
+
+def test_shards_and_postings_below_the_kth_score_are_passed_over():
+    rng = np.random.default_rng(6)
+
+    def shard(ids, n_terms, tf):
+        posts = [np.sort(rng.choice(len(ids), len(ids) // 4, replace=False)) for _ in range(n_terms)]
+        doc = np.concatenate(posts)
+        return bm25.with_blocks(ids, np.full(len(ids), 100, np.int32), np.arange(n_terms, dtype=np.uint64), np.cumsum([0, *map(len, posts)]), doc.astype(np.int32), np.full(len(doc), tf))
+
+    good, poor = shard(np.arange(400), 20, 9), shard(np.arange(400, 800), 4, 1)
+    asked = bm25._Asked(np.arange(2), np.arange(2), np.array([0, 20, 35]), np.arange(20, dtype=np.uint64), rng.random(20) + 1, np.r_[0:20, 5:20].astype(np.int32), 3)
+    assert bm25._Scorer(good, 100.0).meet(asked) == 2 and (asked.least > 0).all()
+    before = [x.tolist() for x in asked.ids]
+    assert bm25._Scorer(poor, 100.0).meet(asked) == 0 and [x.tolist() for x in asked.ids] == before
+    found, _, read = bm25._best(np.arange(3, dtype=np.uint64), np.ones(3), poor, 100.0, 3, 99.0)
+    assert read == len(found) == 0
+
+
 ALPHABET = ["a", "b", " ", " ", "  ", "\n", "'s", "é", "1", ".", "🙂", " ", "word", " the", "\t "]
 
 
