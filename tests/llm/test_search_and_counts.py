@@ -175,6 +175,27 @@ def test_shards_and_postings_below_the_kth_score_are_passed_over():
 ALPHABET = ["a", "b", " ", " ", "  ", "\n", "'s", "é", "1", ".", "🙂", " ", "word", " the", "\t "]
 
 
+def test_few_documents_are_scored_again_after_a_shard_of_another_kind(monkeypatch):
+    """A low k-th score, as texts of another kind leave it, lets only about k documents of a shard into the exact round."""
+    rng, n, n_terms, k = np.random.default_rng(5), 600, 60, 5
+    has = rng.random((n_terms, n)) < 0.3
+    t, doc = np.nonzero(has)
+    start = np.r_[0, np.cumsum(has.sum(1))]
+    names = np.arange(1, n_terms + 1, dtype=np.uint64)
+    shard = bm25.with_blocks(np.arange(n), has.sum(0), names, start, doc.astype(np.int32), np.ones(len(t), np.int32))
+    asked = bm25._Asked(np.array([0]), np.array([0]), np.array([0, n_terms]), names, np.linspace(1, 2, n_terms), np.arange(n_terms, dtype=np.int32), k)
+    asked.add(0, np.arange(n, n + k), np.full(k, 1e-3))
+    met, add = [], bm25._Asked.add
+    monkeypatch.setattr(bm25._Asked, "add", lambda self, i, ids, scores: (met.append(len(ids)), add(self, i, ids, scores)))
+    bm25._Scorer(shard, float(has.sum(0).mean())).meet(asked)
+    f, dl = 1.0, has.sum(0)
+    every = (np.linspace(1, 2, n_terms)[:, None] * has * bm25._impact(f, dl, float(dl.mean()))).sum(0)
+    best = np.lexsort((np.arange(n), -every))[:k]
+    assert asked.ids[0].tolist() == best.tolist()
+    assert np.allclose(asked.scores[0], every[best], rtol=1e-12)
+    assert sum(met) <= 2 * k
+
+
 def test_edits_against_encoding_the_whole_text(monkeypatch):
     monkeypatch.setattr(token_counts, "LEAF", 8)
     monkeypatch.setattr(token_counts._cut, "__defaults__", (8,))
