@@ -268,3 +268,26 @@ def test_kept_trees_are_edited_again_and_again(spark, tmp_path):
             assert r.text == texts[r.doc_id] and r.n_tokens_edited == len(encode(r.text)) == r.tokens[1] and r.n_tokens == len(encode(before))
             assert len(before) < 4000 or r.n_chars_encoded_again < len(before) / 2
         state = after.select("doc_id", "text", "chars", "tokens")
+
+
+def test_a_block_meets_a_shard_in_few_bytes_a_term():
+    """What a query's term costs in a shard is mostly the arrays that pass by it: a block of many terms needs few bytes for each."""
+    import tracemalloc
+
+    rng, n, n_terms, n_queries, each = np.random.default_rng(7), 300, 3000, 2000, 150
+    doc = np.concatenate([np.sort(rng.choice(n, 6, replace=False)) for _ in range(n_terms)])
+    shard = bm25.with_blocks(np.arange(n), np.full(n, 60, np.int32), np.arange(n_terms, dtype=np.uint64), np.arange(0, 6 * n_terms + 1, 6), doc.astype(np.int32), np.ones(len(doc), np.int32))
+    place = np.concatenate([np.sort(rng.choice(n_terms, each, replace=False)) for _ in range(n_queries)]).astype(np.int32)
+    weights = rng.random(n_terms) + 1
+    asked = bm25._Asked(np.arange(n_queries), np.arange(n_queries), np.arange(0, len(place) + 1, each), np.arange(n_terms, dtype=np.uint64), weights, place, 5)
+    scorer = bm25._Scorer(shard, 60.0)
+    tracemalloc.start()
+    assert scorer.meet(asked) == n_queries
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 * len(place)
+    every = np.zeros(n)
+    for t in place[:each]:
+        every[doc[6 * t : 6 * t + 6]] += weights[t]
+    best = np.lexsort((np.arange(n), -every))[:5]
+    assert asked.ids[0].tolist() == best.tolist() and np.allclose(asked.scores[0], every[best], rtol=1e-12)
