@@ -21,7 +21,7 @@ a document are scored each; repeated labels count as toxic if one of them does.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -47,6 +47,11 @@ LEAST_RATIO, LEAST_TIMES, LEAST_SHARE = 10.5, 20.0, 0.015
 #: Log odds below this are noise when they are summed.
 NOISE = 0.7
 THRESHOLD = 0.3
+#: Windows that are compressed by one dictionary before the other one's turn, and bytes of windows whose cells are remembered, about.
+TOGETHER, KEPT_BYTES = 10_000, 64 << 20
+#: Windows a call of the compressor.
+AT_ONCE = 5000
+_NUMBERS = list(range(SIDE * SIDE))
 
 
 @dataclass
@@ -70,19 +75,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def _compressor(dictionary: bytes):
+def _compressor(dictionary: bytes) -> Callable[[list[bytes]], np.ndarray]:
+    """Gives the length of each of some windows, compressed by itself."""
     params = zs.ZstdCompressionParameters(
         window_log=17, hash_log=16, chain_log=17, search_log=5, min_match=3, target_length=32, strategy=zs.STRATEGY_BTOPT,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     known = zs.ZstdCompressionDict(dictionary)
     known.precompute_compress(compression_params=params)
-    return zs.ZstdCompressor(dict_data=known, compression_params=params).compress
+    many = zs.ZstdCompressor(dict_data=known, compression_params=params).multi_compress_to_buffer
 
+    def lengths(windows: list[bytes]) -> np.ndarray:
+        out = np.empty(len(windows), np.int64)
+        for low in range(0, len(windows), AT_ONCE):
+            some = many(windows[low : low + AT_ONCE], threads=1)
+            out[low : low + len(some)] = [len(some[i]) for i in range(len(some))]
+        return out
 
-def _windows(data: bytes) -> list[bytes]:
-    w = data.split(b" ")
-    return [b" " + b" ".join(w[i : i + WINDOW]) + b" " for i in range(0, len(w), WINDOW)] if data else []
+    return lengths
+
+
+def _windows(w: list[bytes]) -> list[bytes]:
+    whole = len(w) // WINDOW * WINDOW
+    found = [b" ".join((b"", *x, b"")) for x in zip(*(w[i:whole:WINDOW] for i in range(WINDOW)))]
+    return found + [b" ".join((b"", *w[whole:], b""))] if whole < len(w) else found
 
 
 def _normal(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -91,14 +107,47 @@ def _normal(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         data = lowered(data)
         whole = data.tobytes()
         for i in range(high - low):
-            yield low + i, _windows(b" ".join(whole[offsets[i] : offsets[i + 1]].split()))
-
-
-def _cells(windows: list[bytes], ordinary, toxic) -> np.ndarray:
-    pairs = np.array([(len(ordinary(w)), len(toxic(w))) for w in windows], np.int32).reshape(-1, 2)
-    over = np.maximum(pairs.max(1) - (SIDE - 1), 0)
-    pairs = np.maximum(pairs - over[:, None], 0)
-    return pairs[:, 0] * SIDE + pairs[:, 1]
+            yield low + i, _windows(whole[offsets[i] : offsets[i + 1]].split())
+
+
+class _Cells:
+    """The cells of windows.  A window is compressed once for as long as it is remembered: ``KEPT_BYTES`` of them, then all are forgotten."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.ordinary, self.toxic = _compressor(ordinary), _compressor(toxic)
+        self.known: dict[bytes, int] = {}
+        self.size = 0
+
+    def of(self, windows: list[bytes]) -> np.ndarray:
+        if self.size > KEPT_BYTES:
+            self.known, self.size = {}, 0
+        known = self.known
+        new = [w for w in dict.fromkeys(windows) if w not in known]
+        # One dictionary after the other, so each stays in the processor's cache.
+        a, b = self.ordinary(new), self.toxic(new)
+        over = np.maximum(np.maximum(a, b) - (SIDE - 1), 0)
+        a, b = np.maximum(a - over, 0), np.maximum(b - over, 0)
+        known.update(zip(new, map(_NUMBERS.__getitem__, (a * SIDE + b).tolist())))
+        self.size += sum(map(len, new)) + 150 * len(new)
+        return np.fromiter(map(known.__getitem__, windows), np.int32, len(windows))
+
+    def each(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, cells) of every text, some texts at a time."""
+        held: list[tuple[int, list[bytes]]] = []
+        n = 0
+        for row, windows in _normal(texts):
+            held.append((row, windows))
+            n += len(windows)
+            if n >= TOGETHER:
+                yield from self._each(held)
+                held, n = [], 0
+        yield from self._each(held)
+
+    def _each(self, held: list[tuple[int, list[bytes]]]) -> Iterator[tuple[int, np.ndarray]]:
+        cells, at = self.of([w for _, windows in held for w in windows]), 0
+        for row, windows in held:
+            yield row, cells[at : at + len(windows)]
+            at += len(windows)
 
 
 def _features(cells: np.ndarray, log_odds: np.ndarray) -> tuple[float, float, float]:
@@ -186,19 +235,25 @@ def _fitted(sample: DataFrame) -> Model:
     toxic = ordinary + b"".join(w.encode() for w in reversed(words)) + b" "
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _compressor(ordinary), _compressor(toxic)
+        measured = _Cells(ordinary, toxic)
         for batch in batches:
-            texts, kinds = batch.column(0), batch.column(1).to_pylist()
-            found = [(kinds[i], np.unique(_cells(w, a, b))) for i, w in _normal(texts)]
-            kind = np.repeat([k for k, _ in found], [len(c) for _, c in found]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([c for _, c in found] or [np.empty(0, np.int32)]))], ["toxic", "cell"])
+            found = [c for _, c in measured.each(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["toxic", "cells"])
 
+    rows = written(sample.select("text", "toxic").mapInArrow(cells, "toxic int, cells array<int>"), "toxicity-cells")
     seen = np.zeros((2, SIDE * SIDE))
-    for r in sample.select("text", "toxic").mapInArrow(cells, "toxic int, cell int").groupBy("toxic", "cell").count().collect():  # 4608 rows at most
+    for r in rows.select("toxic", F.explode(F.array_distinct("cells")).alias("cell")).groupBy("toxic", "cell").count().collect():  # 4608 rows at most
         seen[r.toxic, r.cell] = r["count"]
     model = Model(ordinary, toxic, np.log((seen[1] + 0.02) / (n1 + 0.04)) - np.log((seen[0] + 0.2) / (n0 + 0.4)))
     model.log_odds[(seen[0] + seen[1]) < 2] = 0
-    rows = _measured(sample.select("doc_id", "text", "toxic"), model, "toxic").select("toxic", "f0", "f1", "f2").collect()
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+            f = np.array([_features(flat[x:y], model.log_odds) for x, y in zip(offsets[:-1], offsets[1:])]).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(f[:, i].copy()) for i in range(3))], ["toxic", "f0", "f1", "f2"])
+
+    rows = rows.mapInArrow(features, "toxic int, f0 double, f1 double, f2 double").collect()  # at most 8000 short rows
     x, y = np.array([[r.f0, r.f1, r.f2] for r in rows]), np.array([r.toxic for r in rows], float)
     model.centre, model.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     model.weights = _logistic((x - model.centre) / model.scale, y)
@@ -217,23 +272,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return w
 
 
-def _measured(docs: DataFrame, model: Model, also: str | None = None) -> DataFrame:
-    """doc_id (and ``also``), score and features of (doc_id, text, ...)."""
+def _scores(texts: pa.Array, cells: _Cells | None, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    f = np.zeros((len(texts), 3))
+    if cells:
+        for i, c in cells.each(texts):
+            f[i] = _features(c, model.log_odds)
+    return model.score(f), f
+
+
+def _measured(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score and features of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.constant is None:
-            a, b = _compressor(model.ordinary), _compressor(model.toxic)
+        cells = _Cells(model.ordinary, model.toxic) if model.constant is None else None
         for batch in batches:
-            f = np.zeros((batch.num_rows, 3))
-            if model.constant is None:
-                for i, w in _normal(batch.column(1)):
-                    f[i] = _features(_cells(w, a, b), model.log_odds)
-            extra = [batch.column(2)] if also else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), *extra, pa.array(model.score(f)), *(pa.array(f[:, i].copy()) for i in range(3))], names)
+            score, f = _scores(batch.column(1), cells, model)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), *(pa.array(f[:, i].copy()) for i in range(3))], names)
 
-    names = ["doc_id", *([also] if also else []), "score", "f0", "f1", "f2"]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'double')}" for n in names))
+    names = ["doc_id", "score", "f0", "f1", "f2"]
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, f0 double, f1 double, f2 double")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
@@ -249,13 +306,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, model: Model | None = None) -
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.constant is None:
-            a, b = _compressor(model.ordinary), _compressor(model.toxic)
+        cells = _Cells(model.ordinary, model.toxic) if model.constant is None else None
         for batch in batches:
-            f = np.zeros((batch.num_rows, 3))
-            if model.constant is None:
-                for i, w in _normal(batch.column(at)):
-                    f[i] = _features(_cells(w, a, b), model.log_odds)
-            yield batch.filter(pa.array(model.score(f) < THRESHOLD))
+            yield batch.filter(pa.array(_scores(batch.column(at), cells, model)[0] < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from asterloom.llm import toxicity
@@ -102,3 +103,24 @@ def test_scores_against_plain_compression(spark, learned):
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(d, l, model).collect()}
     assert all(abs(got[i] - plain(t)) < 1e-9 for i, t, _ in some)
     assert len({round(got[i], 6) for i, *_ in some}) > 3
+
+
+def test_a_window_met_again_is_not_compressed_again(learned, monkeypatch):
+    *_, model = learned
+    met, plain = [], toxicity._compressor
+
+    def compressor(dictionary):
+        lengths = plain(dictionary)
+        return lambda windows: (met.extend(windows), lengths(windows))[1]
+
+    monkeypatch.setattr(toxicity, "_compressor", compressor)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 2)
+    cells = toxicity._Cells(model.ordinary, model.toxic)
+    windows = toxicity._windows(b"one two three four five six one two three vrxglob and more last".split())
+    assert windows == [b" one two three ", b" four five six ", b" one two three ", b" vrxglob and more ", b" last "]
+    got = cells.of(windows)
+    assert len(met) == 2 * 4 and got[0] == got[2]
+    assert cells.of(windows[::-1]).tolist() == got[::-1].tolist() and len(met) == 2 * 4
+    monkeypatch.setattr(toxicity, "KEPT_BYTES", 0)  # forgotten, and compressed again
+    assert cells.of(windows).tolist() == got.tolist() and len(met) == 2 * 8
+    assert [c.tolist() for _, c in cells.each(pa.array(["One two THREE", None, "", "last  one"]))] == [[got[0]], [], [], cells.of([b" last one "]).tolist()]
