@@ -291,3 +291,43 @@ def test_a_block_meets_a_shard_in_few_bytes_a_term():
         every[doc[6 * t : 6 * t + 6]] += weights[t]
     best = np.lexsort((np.arange(n), -every))[:5]
     assert asked.ids[0].tolist() == best.tolist() and np.allclose(asked.scores[0], every[best], rtol=1e-12)
+
+
+def test_index_rows_take_few_bytes_and_hold_every_number(spark):
+    """Large arrays that pass the JVM fill its heap, so a posting takes about 3 bytes and a term about 20, not 8 and 36."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 5000}" for _ in range(300)) for _ in range(300)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(-(1 << 62), "w1 " * 70_000), (1 << 62, "w2 " * 300 + "end")]
+    (row,) = bm25.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()
+    ids, length, term, start, doc, tf, first, last, most, least = bm25._shard(row.asDict())
+    assert sum(len(row[c]) for c in bm25._COLUMNS) < 6 * len(doc) + 30 * len(term) + 16 * len(ids)
+    bags = [Counter(t.split()) for _, t in docs]
+    assert ids.tolist() == [i for i, _ in docs] and length.tolist() == [sum(b.values()) for b in bags]
+    assert len(term) == len(set().union(*bags)) and term.dtype == np.uint64 and (term[1:] > term[:-1]).all()
+    assert sorted(zip(doc.tolist(), tf.tolist())) == sorted((d, n) for d, b in enumerate(bags) for n in b.values())
+    for a, b, kind in zip(bm25.with_blocks(ids, length, term, start, doc, tf), bm25._shard(row.asDict()), bm25._KINDS):
+        assert a.tolist() == b.tolist() and b.dtype == kind
+
+
+@pytest.mark.parametrize("most", [0, 255, 256, 65_535, 65_536, (1 << 31) - 1, 1 << 31, (1 << 63) - 1])
+@pytest.mark.parametrize("least", [0, -1, -(1 << 63)])
+def test_numbers_are_kept_in_any_range(least, most):
+    a = np.array([least, 0, most], np.int64)
+    assert bm25._widened(bm25._narrowed(a), np.int64).tolist() == a.tolist()
+    assert bm25._widened(bm25._narrowed(a[:0]), np.int64).tolist() == []
+
+
+def test_query_gives_workers_few_texts_at_a_time(spark, monkeypatch):
+    """A batch of 10,000 texts stands in the JVM and in the worker at once; the setting is put back."""
+    from asterloom.llm import queries
+
+    name, seen, plain = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, bm25.written
+
+    def written(df, what, *options):
+        seen[what] = int(spark.conf.get(name))
+        return plain(df, what, *options)
+
+    monkeypatch.setattr(bm25, "written", written)
+    before = spark.conf.get(name)
+    queries.op5_topk_search(spark, "/root/testdata/sf0.001").collect()
+    assert seen["bm25-index"] <= 1000 and seen["bm25-queries"] <= 1000 and seen["bm25-best"] == 1 and spark.conf.get(name) == before
